@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wordtide.llm import heavy_hitters as HH
+from wordtide.llm import shared_spans as SS
 from wordtide.llm import term_frequency as TF
 from wordtide.plans.core import WORDS
 from wordtide.sources.tables import read_table
@@ -52,3 +53,35 @@ def p2_found(spark, d):
     hits = HH.heavy_hitters(read_table(spark, d, "videos"), "desc", "views")
     measure = F.when(F.col("measure") == "weight", "views").otherwise(F.col("measure"))
     return hits.select(measure.alias("measure"), F.col("value").alias("desc"))
+
+
+# --- 10: long shared spans
+
+_GRAMS = """SELECT doc_id, hash(substr(text, i::BIGINT, 200)) AS w, i - 1 AS at FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i
+    FROM documents WHERE length(text) >= 200)"""
+
+
+@query(
+    f"""WITH g AS ({_GRAMS}), r AS (SELECT w FROM g GROUP BY w HAVING COUNT(DISTINCT doc_id) > 1),
+    k AS (SELECT DISTINCT w, doc_id FROM g WHERE w IN (SELECT w FROM r))
+    SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM k a JOIN k b ON a.w = b.w AND a.doc_id < b.doc_id"""
+)
+def p10_found(spark, d):
+    pairs = SS.shared_pairs(read_table(spark, d, "documents"))
+    return pairs.select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
+
+
+@query()
+def p10_spans(spark, d):
+    return SS.shared_spans(read_table(spark, d, "documents"))
+
+
+@query(
+    f"""WITH g AS ({_GRAMS}), r AS (SELECT w FROM g GROUP BY w HAVING COUNT(DISTINCT doc_id) > 1),
+    c AS (SELECT DISTINCT doc_id, unnest(range(at, at + 200)) AS p FROM g WHERE w IN (SELECT w FROM r)),
+    n AS (SELECT doc_id, COUNT(*) AS shared FROM c GROUP BY doc_id)
+    SELECT doc_id, coalesce(shared, 0)::BIGINT AS shared FROM documents LEFT JOIN n USING (doc_id)"""
+)
+def p10_amount(spark, d):
+    amount = SS.shared_amount(read_table(spark, d, "documents"))
+    return amount.select(F.col("doc").alias("doc_id"), "shared")
