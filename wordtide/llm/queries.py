@@ -57,7 +57,7 @@ def p2_found(spark, d):
 
 # --- 10: long shared spans
 
-_GRAMS = """SELECT doc_id, hash(substr(text, i::BIGINT, 200)) AS w, i - 1 AS at FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i
+_GRAMS = """SELECT doc_id, hash(substr(text, i::BIGINT, 200)) AS w, i - 1 AS pos FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i
     FROM documents WHERE length(text) >= 200)"""
 
 
@@ -78,7 +78,7 @@ def p10_spans(spark, d):
 
 @query(
     f"""WITH g AS ({_GRAMS}), r AS (SELECT w FROM g GROUP BY w HAVING COUNT(DISTINCT doc_id) > 1),
-    c AS (SELECT DISTINCT doc_id, unnest(range(at, at + 200)) AS p FROM g WHERE w IN (SELECT w FROM r)),
+    c AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + 200)) AS p FROM g WHERE w IN (SELECT w FROM r)),
     n AS (SELECT doc_id, COUNT(*) AS shared FROM c GROUP BY doc_id)
     SELECT doc_id, coalesce(shared, 0)::BIGINT AS shared FROM documents LEFT JOIN n USING (doc_id)"""
 )
