@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from wordtide.llm import encoding_repair as ER
 from wordtide.llm import heavy_hitters as HH
 from wordtide.llm import shared_spans as SS
 from wordtide.llm import term_frequency as TF
@@ -85,3 +86,17 @@ def p10_spans(spark, d):
 def p10_amount(spark, d):
     amount = SS.shared_amount(read_table(spark, d, "documents"))
     return amount.select(F.col("doc").alias("doc_id"), "shared")
+
+
+# --- 7: wrong encodings
+
+
+@query()
+def p7_found(spark, d):
+    return ER.garbled_rows(read_table(spark, d, "videos").select("row_id", "desc")).select("row_id")
+
+
+@query()
+def p7_repaired(spark, d):
+    rows = ER.repair(read_table(spark, d, "videos").select("row_id", "desc"))
+    return rows.select("row_id", "repaired.restored", "repaired.spans", "repaired.lost")
