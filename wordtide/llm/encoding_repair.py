@@ -62,7 +62,6 @@ LOST = "\ufffd"
 #: Times a text is searched again; each pass undoes one wrong decoding.
 PASSES = 4
 _PAYLOAD = re.compile(P.PAYLOAD_LINE)
-_CYRILLIC = "А-Яа-яЁё"
 
 
 @lru_cache(maxsize=None)
@@ -270,32 +269,30 @@ def _undo_latin(text: str) -> tuple[str, int, int]:
 
 # --- Cyrillic encodings taken for each other
 
-_TURNED = re.compile("(?<![А-Яа-яЁё])[а-яё][А-ЯЁ]{2,}|(?<![А-Яа-яЁё])[А-ЯЁ]?[а-яё]*[а-яё][А-ЯЁ]{2,}")
+_TURNED = re.compile("[А-ЯЁ]?[а-яё]+[А-ЯЁ]{2,}")
+_CYRILLIC_WORD = re.compile("[А-Яа-яЁёЈ]+")
+_USUAL = "оеаинтсрвлкмдпу"
 
 
 def _undo_cyrillic(text: str) -> tuple[str, int, int]:
-    if not _TURNED.search(text):
+    """Words whose case is turned, or words in capitals whose letters get usual only when read the other way."""
+    if not _CYRILLIC_WORD.search(text):
         return text, 0, 0
-    word = re.compile(f"[{_CYRILLIC}]+")
-    turned = [w for w in word.findall(text) if len(w) > 2 and _TURNED.fullmatch(w)]
-    if not turned:
+    words = [w for w in _CYRILLIC_WORD.findall(text) if not w.islower() and len(w) > 1 and not w.istitle()]
+    if not words:
         return text, 0, 0
-    # Where a word is turned, the words in capitals around it are too; those in small letters are not.
-    best, spans = text, 0
+    turned = sum(bool(_TURNED.fullmatch(w)) and len(w) > 2 for w in words)
+    share = lambda s: sum(c in _USUAL for c in s.lower()) / len(s)
+    raw, best = share("".join(words)), (text, 0, 0)
     for taken, source in (("cp1251", "koi8-r"), ("koi8-r", "cp1251")):
-        n = 0
-
-        def fix(m: re.Match, taken=taken, source=source) -> str:
-            nonlocal n
-            if m[0] not in turned and not m[0].isupper():
-                return m[0]
-            n += 1
-            return _encode(m[0], taken).decode(source, "replace")
-
-        out = word.sub(fix, text)
-        if LOST not in out and len(_TURNED.findall(out)) < len(_TURNED.findall(best)):
-            best, spans = out, n
-    return best, spans, 0
+        other = "".join(_encode(w, taken).decode(source, "replace") for w in words)
+        gain = share(other) - raw if other and LOST not in other else -1
+        small = sum(c.islower() for c in other)
+        if small >= 0.8 * len(other) and (turned and gain > 0 or gain > 0.2 and len(other) >= 12):
+            fix = lambda m, t=taken, s=source: m[0] if m[0] not in words and not m[0].isupper() else _encode(m[0], t).decode(s, "replace")
+            best = (_CYRILLIC_WORD.sub(fix, text), len(words), 0)
+            raw = share(other)
+    return best
 
 
 # --- one text, and tables
@@ -312,7 +309,7 @@ def candidate_pattern() -> str:
     strange = {g for _, table in _foreign() for g in table if not g.isascii() and g.lower() not in ALPHABETS and g not in CONTEXT}
     capitals = {g for _, table in _foreign() for g in table if g.isupper() and not g.isascii()}
     inside = ["(?:" + some(strange) + "[A-Za-z]|[A-Za-z]" + some(strange | capitals) + ")"]
-    return "|".join([LOST, *pairs, some(_UPPER_HALF) + "{3}", *inside, "[а-яё][А-ЯЁ]{2}"])
+    return "|".join([LOST, *pairs, some(_UPPER_HALF) + "{3}", *inside, "[А-ЯЁЈ]{2}"])
 
 
 def restore(text: str) -> tuple[str, int, bool]:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from wordtide.llm import encoding_repair as ER
 from wordtide.llm import heavy_hitters as HH
+from wordtide.llm import normal_form as NF
 from wordtide.llm import shared_spans as SS
 from wordtide.llm import term_frequency as TF
 from wordtide.plans.core import WORDS
@@ -100,3 +101,24 @@ def p7_found(spark, d):
 def p7_repaired(spark, d):
     rows = ER.repair(read_table(spark, d, "videos").select("row_id", "desc"))
     return rows.select("row_id", "repaired.restored", "repaired.spans", "repaired.lost")
+
+
+# --- 5: look-alike text
+
+
+def _both(f, spark, d):
+    """f(table, key, text) over videos and over the tokenizer cases, with the table's name."""
+    tables = (("videos", "row_id", "desc"), ("tokenizer_cases", "case_id", "text"))
+    got = [f(read_table(spark, d, t).select(key, text), key, text).withColumn("tbl", F.lit(t)) for t, key, text in tables]
+    return got[0].unionByName(got[1])
+
+
+@query()
+def p5_found(spark, d):
+    return _both(NF.look_alikes, spark, d).select("tbl", F.col("a").alias("id_a"), F.col("b").alias("id_b"))
+
+
+@query()
+def p5_forms(spark, d):
+    forms = _both(lambda df, key, text: NF.normalise(df, text).select(F.col(key).alias("id"), "form"), spark, d)
+    return forms.select("tbl", "id", "form")
