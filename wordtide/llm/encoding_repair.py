@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wordtide.functions import patterns as P
+from wordtide.llm.normal_form import char_class
 
 # Encodings, and the blocks of characters that texts of the twelve languages use.
 UTF8_AS = ("cp1252", "latin-1", "cp1254", "cp1251", "mac_roman", "cp437", "cp850", "cp866", "cp1250", "cp1256", "iso8859-15", "koi8-r")
@@ -302,14 +303,11 @@ def _undo_cyrillic(text: str) -> tuple[str, int, int]:
 def candidate_pattern() -> str:
     """A Java pattern without which no text holds anything that ``restore`` looks for."""
 
-    def some(chars) -> str:
-        return "[" + "".join(f"\\x{{{ord(c):x}}}" for c in sorted(set(chars))) + "]"
-
-    pairs = [some(_decoder(c)[0xC2:0xF5]) + some(_decoder(c)[0x80:0xC0]) for c in UTF8_AS]
+    pairs = [char_class(_decoder(c)[0xC2:0xF5]) + char_class(_decoder(c)[0x80:0xC0]) for c in UTF8_AS]
     strange = {g for _, table in _foreign() for g in table if not g.isascii() and g.lower() not in ALPHABETS and g not in CONTEXT}
     capitals = {g for _, table in _foreign() for g in table if g.isupper() and not g.isascii()}
-    inside = ["(?:" + some(strange) + "[A-Za-z]|[A-Za-z]" + some(strange | capitals) + ")"]
-    return "|".join([LOST, *pairs, some(_UPPER_HALF) + "{3}", *inside, "[А-ЯЁЈ]{2}"])
+    inside = ["(?:" + char_class(strange) + "[A-Za-z]|[A-Za-z]" + char_class(strange | capitals) + ")"]
+    return "|".join([LOST, *pairs, char_class(_UPPER_HALF) + "{3}", *inside, "[А-ЯЁЈ]{2}"])
 
 
 def restore(text: str) -> tuple[str, int, bool]:
@@ -338,6 +336,11 @@ def _restore(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(got, columns=["restored", "spans", "lost"])
 
 
+def _may(c: Column) -> Column:
+    """Whether the text may hold anything; plain ASCII, which never does, is passed by the cheaper test."""
+    return c.rlike(r"[^\x00-\x7f]") & c.rlike(candidate_pattern())
+
+
 def repair(df: DataFrame, text: str = "desc", out: str = "repaired") -> DataFrame:
     """Adds a struct ``out`` (restored, spans, lost): the text with its garbled spans turned back, how many there were, and
     whether part of the text can't be restored. Known corrupt payloads count as neither.
@@ -345,7 +348,7 @@ def repair(df: DataFrame, text: str = "desc", out: str = "repaired") -> DataFram
     Null gives null with no spans; texts without any telling pair never leave the JVM. All other columns stay as they are.
     """
     c: Column = F.col(text)
-    may = c.rlike(candidate_pattern())
+    may = _may(c)
     rows = df.withColumn("_garbled", _restore(F.when(may, c)))
     got = F.struct(
         F.when(may, F.col("_garbled.restored")).otherwise(c).alias("restored"),
@@ -357,5 +360,5 @@ def repair(df: DataFrame, text: str = "desc", out: str = "repaired") -> DataFram
 
 def garbled_rows(df: DataFrame, text: str = "desc", out: str = "repaired") -> DataFrame:
     """The rows of ``repair`` that hold wrongly decoded text, restorable or not."""
-    near = df.where(F.col(text).rlike(candidate_pattern()))
+    near = df.where(_may(F.col(text)))
     return repair(near, text, out).where((F.col(f"{out}.spans") > 0) | F.col(f"{out}.lost"))
