@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from wordtide.llm import encoding_repair as ER
 from wordtide.llm import heavy_hitters as HH
+from wordtide.llm import language_id as LI
 from wordtide.llm import normal_form as NF
 from wordtide.llm import shared_spans as SS
 from wordtide.llm import term_frequency as TF
@@ -122,3 +123,28 @@ def p5_found(spark, d):
 def p5_forms(spark, d):
     forms = _both(lambda df, key, text: NF.normalise(df, text).select(F.col(key).alias("id"), "form"), spark, d)
     return forms.select("tbl", "id", "form")
+
+
+# --- 3: languages
+
+
+def _language_model(spark, d):
+    return LI.train(LI.sample(read_table(spark, d, "documents"), "doc_id", "text", "lang"))
+
+
+@query()
+def p3_found(spark, d):
+    return LI.label_problems(read_table(spark, d, "videos"), _language_model(spark, d))
+
+
+@query()
+def p3_languages(spark, d):
+    rows = LI.identify(read_table(spark, d, "videos").select("row_id", "desc"), _language_model(spark, d))
+    return rows.select("row_id", "language.lang", F.round("language.confidence", 4).alias("confidence"), F.size("language.segments").alias("n_segments"))
+
+
+@query()
+def p3_segments(spark, d):
+    rows = LI.identify(read_table(spark, d, "videos").select("row_id", "desc"), _language_model(spark, d))
+    each = rows.select("row_id", F.posexplode("language.segments").alias("at", "s"))
+    return each.select("row_id", "at", "s.lang", F.round("s.confidence", 4).alias("confidence"), "s.text")
