@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,3 +37,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         shared = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="wordtide-checkpoint-"))
     return df.checkpoint(eager=True)
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Sends this package to the executors' Python workers, once a session; they need not have it installed."""
+    sc = spark.sparkContext
+    if not getattr(sc, "_wordtide_shipped", False):
+        package = os.path.dirname(os.path.abspath(__file__))
+        folder = tempfile.mkdtemp(prefix="wordtide-")
+        sc.addPyFile(shutil.make_archive(os.path.join(folder, "wordtide"), "zip", os.path.dirname(package), os.path.basename(package)))
+        sc._wordtide_shipped = True
+    return spark
