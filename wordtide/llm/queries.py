@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from wordtide.llm import encoding_repair as ER
 from wordtide.llm import heavy_hitters as HH
 from wordtide.llm import language_id as LI
+from wordtide.llm import mixing as MX
 from wordtide.llm import normal_form as NF
+from wordtide.llm import packing as PK
 from wordtide.llm import shared_spans as SS
 from wordtide.llm import term_frequency as TF
 from wordtide.plans.core import WORDS
@@ -148,3 +150,34 @@ def p3_segments(spark, d):
     rows = LI.identify(read_table(spark, d, "videos").select("row_id", "desc"), _language_model(spark, d))
     each = rows.select("row_id", F.posexplode("language.segments").alias("at", "s"))
     return each.select("row_id", "at", "s.lang", F.round("s.confidence", 4).alias("confidence"), "s.text")
+
+
+# --- 8: containers
+
+
+def _packed(spark, d):
+    sizes = {r["pack_id"]: r["capacity"] for r in read_table(spark, d, "pack_sizes").collect()}  # a few capacities
+    return PK.pack(read_table(spark, d, "documents"), sizes)
+
+
+@query()
+def p8_packed(spark, d):
+    return _packed(spark, d)
+
+
+@query()
+def p8_fill(spark, d):
+    return PK.fill(_packed(spark, d), read_table(spark, d, "pack_sizes"))
+
+
+# --- 9: mixes
+
+
+@query()
+def p9_mix(spark, d):
+    return MX.mix(read_table(spark, d, "documents"), read_table(spark, d, "mix_targets"))
+
+
+@query()
+def p9_shares(spark, d):
+    return MX.shares(p9_mix(spark, d), read_table(spark, d, "mix_targets"))
