@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from wordtide.session import cut_lineage
+
 # Letters that look like Latin ones, and characters that do not show.
 CYRILLIC = ("АВЕЅІЈКМНОРСТУХҮԚԜасеѕіјорухһԁԛԝӏ", "ABESIJKMHOPCTYXYQWacesijopyxhdqwl")
 GREEK = ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧαινορυϲϳ", "ABEZHIKMNOPTYXaivopucj")
@@ -106,6 +108,16 @@ def char_class(chars) -> str:
     return "[" + "".join(f"\\x{{{a:x}}}" + (f"-\\x{{{b:x}}}" if b > a else "") for a, b in parts) + "]"
 
 
+#: Java patterns that match every text in which something joins or changes, and few others; a handful of ranges, since a
+#: class of all these characters costs each character a test of every range.
+MAY_JOIN = r"[\p{M}\x{1160}-\x{11ff}\x{ff9e}\x{ff9f}]"
+MAY_CHANGE = (
+    r"[\xa0\xad\x{251}\x{261}\x{370}-\x{58f}\x{958}-\x{95f}\x{9dc}-\x{9df}\x{a33}-\x{a5e}\x{b5c}\x{b5d}\x{f43}-\x{fb9}\x{115f}-\x{180f}"
+    r"\x{1f00}-\x{1fff}\x{2000}-\x{200f}\x{2028}-\x{202f}\x{205f}-\x{206f}\x{2126}-\x{212b}\x{2329}-\x{232a}\x{2adc}\x{3000}\x{3164}"
+    r"\x{f900}-\x{ffee}\x{1d15e}-\x{1d1c0}\x{2f800}-\x{2fa1d}\x{e0100}-\x{e01ef}]"
+)
+
+
 @lru_cache(maxsize=1)
 def _single() -> dict[str, str]:
     """Characters that change by themselves, where nothing around them joins."""
@@ -131,9 +143,9 @@ def distinct_forms(df: DataFrame, text: str) -> DataFrame:
     spark = df.sparkSession
     rows = df.select(*_keys(F.col(text)), F.col(text).alias("text")).where(F.col("text").isNotNull())
     texts = rows.groupBy("k1", "k2").agg(F.first("text").alias("text"))
-    joins = F.col("text").rlike(char_class(joining()))
-    changes = F.col("text").rlike(char_class(_single()))
-    plain = texts.where(~joins & ~changes).withColumn("form", F.col("text"))
+    foreign = F.col("text").rlike(r"[^\x00-\x7f]")
+    joins, changes = foreign & F.col("text").rlike(MAY_JOIN), foreign & F.col("text").rlike(MAY_CHANGE)
+    plain = texts.where(~(joins | changes)).withColumn("form", F.col("text"))
 
     singles = _table(spark, list(_single().items()), "c string, n string")
     one = _points(texts.where(~joins & changes)).join(singles, "c", "left")
@@ -182,6 +194,7 @@ def look_alikes(df: DataFrame, key: str, text: str) -> DataFrame:
     are no pair, nulls have none.
     """
     forms = distinct_forms(df, text).select("k1", "k2", F.xxhash64("form").alias("f1"), F.xxhash64(F.lit("second"), F.col("form")).alias("f2"))
+    forms = cut_lineage(forms)  # four hashes a text, used three times
     shared = forms.groupBy("f1", "f2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("f1", "f2")
     members = forms.join(shared, ["f1", "f2"])
     left = members.select("f1", "f2", F.struct("k1", "k2").alias("x"))
