@@ -10,6 +10,7 @@ from wordtide.llm import language_id as LI
 from wordtide.llm import mixing as MX
 from wordtide.llm import normal_form as NF
 from wordtide.llm import packing as PK
+from wordtide.llm import pii as PI
 from wordtide.llm import shared_spans as SS
 from wordtide.llm import term_frequency as TF
 from wordtide.plans.core import WORDS
@@ -181,3 +182,26 @@ def p9_mix(spark, d):
 @query()
 def p9_shares(spark, d):
     return MX.shares(p9_mix(spark, d), read_table(spark, d, "mix_targets"))
+
+
+# --- 6: personal information
+
+
+def _tagger(spark, d):
+    hints = read_table(spark, d, "name_hints").where("name IS NOT NULL").orderBy("name", "kind").collect()  # a small list
+    plain = PI.plain_lines(read_table(spark, d, "documents"), "doc_id", "text", "lang")
+    return PI.tagger(tuple((r["name"], r["kind"]) for r in hints), plain)
+
+
+@query()
+def p6_found(spark, d):
+    made = _tagger(spark, d)
+    found = _both(lambda df, key, text: PI.kinds(df, made, key, text).withColumnRenamed(key, "id"), spark, d)
+    return found.select("tbl", "id", "kind")
+
+
+@query()
+def p6_redacted(spark, d):
+    made = _tagger(spark, d)
+    rows = _both(lambda df, key, text: PI.find(df, made, text).withColumnRenamed(key, "id").select("id", "pii.redacted"), spark, d)
+    return rows.select("tbl", "id", "redacted")
