@@ -30,14 +30,27 @@ def ascii_fold(text: Column) -> Column:
     return F.translate(text, P.ASCII_UPPER, P.ASCII_LOWER)
 
 
+def _any(text: Column, marks: tuple[str, ...]) -> Column:
+    return reduce(lambda a, b: a | b, (F.contains(text, F.lit(mark)) for mark in marks))
+
+
 def has_entities(folded: Column) -> Column:
     """Whether the clean pattern can match at all; a cheap test that loses nothing."""
-    return reduce(lambda a, b: a | b, (F.contains(folded, F.lit(mark)) for mark in P.GATE))
+    return _any(folded, P.GATE)
 
 
 def remove_entities(folded: Column) -> Column:
-    """URLs, emails, mentions and hashtags become one space each; the leftmost alternative wins."""
-    return F.when(has_entities(folded), F.regexp_replace(folded, P.CLEAN_JVM, " ")).otherwise(folded)
+    """URLs, emails, mentions and hashtags become one space each; the leftmost alternative wins.
+
+    The pattern holds only the alternatives that the text can match: most short texts have hashtags and nothing else, for
+    which each position is tested against one character instead of all alternatives.
+    """
+    links = tuple(m for m in P.GATE if m not in "@#")
+    return (
+        F.when(_any(folded, ("@", *links)), F.regexp_replace(folded, P.CLEAN_JVM, " "))
+        .when(F.contains(folded, F.lit("#")), F.regexp_replace(folded, P.HASHTAG, " "))
+        .otherwise(folded)
+    )
 
 
 def clean(desc: Column) -> Column:
