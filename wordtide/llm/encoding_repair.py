@@ -110,7 +110,7 @@ def _utf8() -> list[ahocorasick.Automaton]:
 
 def _spans(text: str, found: list[tuple[int, int, str, bool]]) -> list[tuple[int, int, str]]:
     """Of units (start, end, character, strong) the unbroken runs that no proper text would hold."""
-    out, i = [], 0
+    runs, i = [], 0
     while i < len(found):
         j = i + 1
         while j < len(found) and found[j][0] == found[j - 1][1]:
@@ -121,11 +121,21 @@ def _spans(text: str, found: list[tuple[int, int, str, bool]]) -> list[tuple[int
         strong = any(x[3] for x in found[i:j])
         if strong and j - i == 1 and end - start == 2 and after_capital and text[end - 1] in "\xa0\xad":
             strong = False  # an invisible sign within capitals
-        # Without a strong unit only a Latin capital inside a word, or several units from one on, are out of place.
-        if strong or ord(lead) < 0x250 and lead.isupper() and not after_capital:
-            out.append((start, end, "".join(x[2] for x in found[i:j])))
+        # Without a strong unit only a Latin capital inside a word, or several units from one on, are out of place, and
+        # punctuation that shows as Cyrillic beside a Latin letter.
+        taken = strong or ord(lead) < 0x250 and lead.isupper() and not after_capital
+        if not taken and "Ѐ" <= lead <= "ӿ" and all("\u2010" <= x[2] <= "\u2060" for x in found[i:j]):
+            taken = any(c.isascii() and c.isalpha() for c in before + text[end : end + 1])
+        runs.append([start, end, "".join(x[2] for x in found[i:j]), taken, j - i > 1])
         i = j
-    return out
+    # Several weak units only a blank away from what is taken go with it.
+    for order in (range(1, len(runs)), range(len(runs) - 2, -1, -1)):
+        for i in order:
+            near = runs[i - 1] if order.step > 0 else runs[i + 1]
+            gap = text[min(near[1], runs[i][1]) : max(near[0], runs[i][0])]
+            if near[3] and runs[i][4] and len(gap) <= 2 and not any(map(str.isalpha, gap)):
+                runs[i][3] = True
+    return [(start, end, new) for start, end, new, taken, _ in runs if taken]
 
 
 def _undo_utf8(text: str) -> tuple[str, int, int]:

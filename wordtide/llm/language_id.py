@@ -196,7 +196,21 @@ class Model:
 
 
 def train(texts: dict[str, list[str]]) -> Model:
-    """A model from labelled texts; Russian also as written in Latin letters."""
+    """A model from labelled texts; Russian also as written in Latin letters.
+
+    Texts quote other languages, a closing line for instance. So a first model judges every line, and the lines that it
+    surely finds to be of another language than their text are left out of the second, which is the result.
+    """
+    lines = {language: [line for t in own for line in t.split("\n") if line.strip()] for language, own in texts.items()}
+    first = _count(lines)
+    kept = {}
+    for language, own in lines.items():
+        found = classify(first, own)
+        kept[language] = [line for line, f in zip(own, found, strict=True) if f is None or f[1] < 0.9 or f[0] == language and not f[2]]
+    return _count(kept)
+
+
+def _count(texts: dict[str, list[str]]) -> Model:
     languages = list(texts)
     per_language = []
     scripts: dict[str, list[int]] = {}
