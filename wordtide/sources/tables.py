@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A table under this size may lie in one row group, which one task would read; above it, files outnumber the cores.
+#: A table under this size and of fewer files than cores may lie in one row group, which one task would read.
 SPREAD_BELOW_BYTES = 256 << 20
 
 
@@ -18,13 +18,13 @@ def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deals the rows of a small input to all cores before heavy work on each row; leaves a large input where it is.
+    """Deals the rows of a small input in few files to all cores before heavy work on each row; leaves any other where it is.
 
-    The choice rests on the optimiser's estimate of the bytes, so no file is read for it.
+    The choice rests on the optimiser's estimate of the bytes and on the number of files, so nothing is read for it.
     """
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if size < SPREAD_BELOW_BYTES else df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < SPREAD_BELOW_BYTES and len(df._jdf.inputFiles()) < cores else df
 
 
 def read_word_lines(spark: SparkSession, path: str) -> DataFrame:
