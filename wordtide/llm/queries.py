@@ -14,7 +14,7 @@ from wordtide.llm import pii as PI
 from wordtide.llm import shared_spans as SS
 from wordtide.llm import term_frequency as TF
 from wordtide.plans.core import WORDS
-from wordtide.sources.tables import read_table
+from wordtide.sources.tables import read_table, spread
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -30,6 +30,14 @@ def query(sql: str | None = None):
     return add
 
 
+def _videos(spark, d, *columns):
+    return spread(read_table(spark, d, "videos").select(*columns))
+
+
+def _documents(spark, d, *columns):
+    return spread(read_table(spark, d, "documents").select(*columns))
+
+
 # --- 1: terms
 
 _TERMS = f"""SELECT term, SUM(n)::BIGINT AS occurrences, COUNT(*) AS records FROM
@@ -39,12 +47,12 @@ _MARKED = f"""SELECT *, CASE WHEN records <= 2 THEN 'rare' WHEN records >= 0.05
 
 @query(f"SELECT term, mark FROM ({_MARKED}) WHERE mark IS NOT NULL")
 def p1_found(spark, d):
-    return TF.desc_terms(read_table(spark, d, "videos")).where("mark IS NOT NULL").select("term", "mark")
+    return TF.desc_terms(_videos(spark, d, "desc")).where("mark IS NOT NULL").select("term", "mark")
 
 
 @query(_MARKED)
 def p1_terms(spark, d):
-    return TF.desc_terms(read_table(spark, d, "videos"))
+    return TF.desc_terms(_videos(spark, d, "desc"))
 
 
 # --- 2: heavy hitters
@@ -56,7 +64,7 @@ _HITS = """WITH g AS (SELECT "desc", COUNT(*) AS n_rows, coalesce(SUM(views), 0)
 
 @query(_HITS)
 def p2_found(spark, d):
-    hits = HH.heavy_hitters(read_table(spark, d, "videos"), "desc", "views")
+    hits = HH.heavy_hitters(_videos(spark, d, "desc", "views"), "desc", "views")
     measure = F.when(F.col("measure") == "weight", "views").otherwise(F.col("measure"))
     return hits.select(measure.alias("measure"), F.col("value").alias("desc"))
 
@@ -73,13 +81,13 @@ _GRAMS = """SELECT doc_id, hash(substr(text, i::BIGINT, 200)) AS w, i - 1 AS pos
     SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM k a JOIN k b ON a.w = b.w AND a.doc_id < b.doc_id"""
 )
 def p10_found(spark, d):
-    pairs = SS.shared_pairs(read_table(spark, d, "documents"))
+    pairs = SS.shared_pairs(_documents(spark, d, "doc_id", "text"))
     return pairs.select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
 
 
 @query()
 def p10_spans(spark, d):
-    return SS.shared_spans(read_table(spark, d, "documents"))
+    return SS.shared_spans(_documents(spark, d, "doc_id", "text"))
 
 
 @query(
@@ -89,7 +97,7 @@ def p10_spans(spark, d):
     SELECT doc_id, coalesce(shared, 0)::BIGINT AS shared FROM documents LEFT JOIN n USING (doc_id)"""
 )
 def p10_amount(spark, d):
-    amount = SS.shared_amount(read_table(spark, d, "documents"))
+    amount = SS.shared_amount(_documents(spark, d, "doc_id", "text"))
     return amount.select(F.col("doc").alias("doc_id"), "shared")
 
 
@@ -98,12 +106,12 @@ def p10_amount(spark, d):
 
 @query()
 def p7_found(spark, d):
-    return ER.garbled_rows(read_table(spark, d, "videos").select("row_id", "desc")).select("row_id")
+    return ER.garbled_rows(_videos(spark, d, "row_id", "desc")).select("row_id")
 
 
 @query()
 def p7_repaired(spark, d):
-    rows = ER.repair(read_table(spark, d, "videos").select("row_id", "desc"))
+    rows = ER.repair(_videos(spark, d, "row_id", "desc"))
     return rows.select("row_id", "repaired.restored", "repaired.spans", "repaired.lost")
 
 
@@ -113,7 +121,7 @@ def p7_repaired(spark, d):
 def _both(f, spark, d):
     """f(table, key, text) over videos and over the tokenizer cases, with the table's name."""
     tables = (("videos", "row_id", "desc"), ("tokenizer_cases", "case_id", "text"))
-    got = [f(read_table(spark, d, t).select(key, text), key, text).withColumn("tbl", F.lit(t)) for t, key, text in tables]
+    got = [f(spread(read_table(spark, d, t).select(key, text)), key, text).withColumn("tbl", F.lit(t)) for t, key, text in tables]
     return got[0].unionByName(got[1])
 
 
@@ -137,18 +145,18 @@ def _language_model(spark, d):
 
 @query()
 def p3_found(spark, d):
-    return LI.label_problems(read_table(spark, d, "videos"), _language_model(spark, d))
+    return LI.label_problems(_videos(spark, d, "row_id", "desc", "lang"), _language_model(spark, d))
 
 
 @query()
 def p3_languages(spark, d):
-    rows = LI.identify(read_table(spark, d, "videos").select("row_id", "desc"), _language_model(spark, d))
+    rows = LI.identify(_videos(spark, d, "row_id", "desc"), _language_model(spark, d))
     return rows.select("row_id", "language.lang", F.round("language.confidence", 4).alias("confidence"), F.size("language.segments").alias("n_segments"))
 
 
 @query()
 def p3_segments(spark, d):
-    rows = LI.identify(read_table(spark, d, "videos").select("row_id", "desc"), _language_model(spark, d))
+    rows = LI.identify(_videos(spark, d, "row_id", "desc"), _language_model(spark, d))
     each = rows.select("row_id", F.posexplode("language.segments").alias("at", "s"))
     return each.select("row_id", "at", "s.lang", F.round("s.confidence", 4).alias("confidence"), "s.text")
 
@@ -158,7 +166,7 @@ def p3_segments(spark, d):
 
 def _packed(spark, d):
     sizes = {r["pack_id"]: r["capacity"] for r in read_table(spark, d, "pack_sizes").collect()}  # a few capacities
-    return PK.pack(read_table(spark, d, "documents"), sizes)
+    return PK.pack(_documents(spark, d, "doc_id", "text"), sizes)
 
 
 @query()
@@ -176,7 +184,7 @@ def p8_fill(spark, d):
 
 @query()
 def p9_mix(spark, d):
-    return MX.mix(read_table(spark, d, "documents"), read_table(spark, d, "mix_targets"))
+    return MX.mix(_documents(spark, d, "doc_id", "text", "source"), read_table(spark, d, "mix_targets"))
 
 
 @query()
