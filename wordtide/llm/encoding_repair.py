@@ -316,8 +316,9 @@ def candidate_pattern() -> str:
     pairs = [char_class(_decoder(c)[0xC2:0xF5]) + char_class(_decoder(c)[0x80:0xC0]) for c in UTF8_AS]
     strange = {g for _, table in _foreign() for g in table if not g.isascii() and g.lower() not in ALPHABETS and g not in CONTEXT}
     capitals = {g for _, table in _foreign() for g in table if g.isupper() and not g.isascii()}
-    inside = ["(?:" + char_class(strange) + "[A-Za-z]|[A-Za-z]" + char_class(strange | capitals) + ")"]
-    return "|".join([LOST, *pairs, char_class(_UPPER_HALF) + "{3}", *inside, "[А-ЯЁЈ]{2}"])
+    foreign = "(?=[^\\x00-\\x7f])"  # plain characters, which are most, meet one test instead of all
+    first = "|".join([LOST, *pairs, char_class(_UPPER_HALF) + "{3}", char_class(strange) + "[A-Za-z]", "[А-ЯЁЈ]{2}"])
+    return f"{foreign}(?:{first})|[A-Za-z]{foreign}{char_class(strange | capitals)}"
 
 
 def restore(text: str) -> tuple[str, int, bool]:
