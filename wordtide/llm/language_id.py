@@ -54,7 +54,9 @@ TEMPERATURE = 4.0
 ROMAN = dict(zip("абвгдеёжзийклмнопрстуфхцчшщъыьэюя", "a b v g d e e zh z i j k l m n o p r s t u f kh ts ch sh sch  y  e yu ya".split(" "), strict=True))
 # End of the fixed values.
 _DENSE = "぀-ヿ㐀-鿿々"
-_WORD = re.compile(rf"[{_DENSE}]+|[가-힣ᄀ-ᇿ]+|(?:[^\W\d_{_DENSE}가-힣ᄀ-ᇿ]|[̀-ًͯ-ٰऀ-ॣ])+(?:['’](?:[^\W\d_{_DENSE}가-힣ᄀ-ᇿ])+)*")
+_MARKS = "\u0300-\u036f\u064b-\u065f\u0670\u0900-\u0903\u093a-\u094f\u0951-\u0957\u0962\u0963"
+_LETTER = rf"(?:[^\W\d_{_DENSE}가-힣ᄀ-ᇿ]|[{_MARKS}])"
+_WORD = re.compile(rf"[{_DENSE}]+|[가-힣ᄀ-ᇿ]+|{_LETTER}+(?:['’]{_LETTER}+)*")
 _ENTITY = re.compile(rf"https?://\S+|www\.\S+|(?:bit\.ly|t\.co|goo\.gl)/\S+|[\w.+-]+@[\w-]+(?:\.[\w-]+)+|[@#][^{P.SPACES}@#]+")
 _PAYLOAD = re.compile(P.PAYLOAD_LINE)
 #: Characters of garbled text that are rare in proper text; where one occurs, repair is tried.
@@ -69,7 +71,7 @@ def _fold_table() -> dict[int, str]:
 
 _TO_LATIN = str.maketrans(*NF.CYRILLIC)
 _TO_CYRILLIC = str.maketrans("aceopxyABCEHKMOPTXYijsIJS", "асеорхуАВСЕНКМОРТХУіјѕІЈЅ")
-_MIXED = re.compile(r"[^\W\d_]*(?:[A-Za-z][Ѐ-ӿ]|[Ѐ-ӿ][A-Za-z])[^\W\d_]*")
+_MIXED = re.compile(r"[^\W\d_]*(?:[A-Za-zÀ-ɏ][Ѐ-ӿ]|[Ѐ-ӿ][A-Za-zÀ-ɏ])[^\W\d_]*")
 
 
 _PLAIN_LATIN = re.compile("[A-Za-z]")
@@ -83,7 +85,7 @@ def _one_script(m: re.Match) -> str:
     if not re.search("[Ѐ-ӿ]", latin):
         return latin
     cyrillic = m[0].translate(_TO_CYRILLIC)
-    return latin if re.search("[A-Za-z]", cyrillic) else cyrillic
+    return latin if re.search("[A-Za-zÀ-ɏ]", cyrillic) else cyrillic
 
 
 def prepare(text: str) -> str:

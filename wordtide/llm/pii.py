@@ -29,8 +29,7 @@ LABELS = ["O", *(f"{p}-{k}" for k in KINDS for p in "BI")]
 REACH = 4
 #: Texts of the labelled table, lines of ordinary text in it, passes over it.
 EXAMPLES, PLAIN_LINES, EPOCHS = 8000, 2000, 6
-_MARKS = "̀-ًͯ-ٰऀ-ःऺ-ॏ"
-_LETTERS = rf"(?:[^\W\d_]|[{_MARKS}])+(?:['’](?:[^\W\d_]|[{_MARKS}])+)*"
+_LETTERS = rf"(?:[^\W\d_]|[{LI._MARKS}])+(?:['’](?:[^\W\d_]|[{LI._MARKS}])+)*"
 _TOKEN = re.compile(rf"{P.PAYLOAD_LINE}|https?://\S+|www\.(?![^\s/]*@)\S+|(?<![\w.+-])[@#][^\s@#]+(?:#[^\s@#]*)*|{_LETTERS}|\d+|[^\w\s]|_")
 _SUFFIX = 3
 
