@@ -1,4 +1,4 @@
-"""Every query against its SQL on the driver's tables, as the driver compares them: python tests/differential.py [NAME...]."""
+"""Every query against its SQL on the driver's tables, as the driver compares them: python tests/differential.py [FOLDER] [NAME...]."""
 
 from __future__ import annotations
 
@@ -48,10 +48,11 @@ if __name__ == "__main__":
     import __spark_entry__ as entry
     from wordtide.session import local_session
 
-    folder, spark = "/root/testdata/sf0.01", local_session()
+    folder, *wanted = sys.argv[1:] if sys.argv[1:2] and "/" in sys.argv[1] else ["/root/testdata/sf0.01", *sys.argv[1:]]
+    spark = local_session()
     con, sql = duck(folder), entry.oracle_sql()
     for name, query in entry.queries().items():
-        if len(sys.argv) > 1 and name not in sys.argv[1:]:
+        if wanted and name not in wanted:
             continue
         t = time.time()
         try:
