@@ -203,7 +203,12 @@ def train(texts: dict[str, list[str]]) -> Model:
     Texts quote other languages, a closing line for instance. So a first model judges every line, and the lines that it
     surely finds to be of another language than their text are left out of the second, which is the result.
     """
-    lines = {language: [line for t in own for line in t.split("\n") if line.strip()] for language, own in texts.items()}
+    return _train(tuple((language, tuple(own)) for language, own in texts.items()))
+
+
+@lru_cache(maxsize=2)
+def _train(texts: tuple[tuple[str, tuple[str, ...]], ...]) -> Model:
+    lines = {language: [line for t in own for line in t.split("\n") if line.strip()] for language, own in texts}
     first = _count(lines)
     kept = {}
     for language, own in lines.items():
