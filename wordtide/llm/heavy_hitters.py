@@ -110,8 +110,10 @@ def heavy_hitters(df: DataFrame, value: str, weight: str | None = None, share: f
     everything = W.partitionBy()  # over the candidates and one row for all else
     exact = exact.withColumns({"all_rows": F.sum("n_rows").over(everything), "all_total": F.sum("total").over(everything)})
     exact = exact.where(F.col("hit").isNotNull())
-    by_rows = exact.where(F.col("n_rows") >= F.lit(share) * F.col("all_rows")).select(F.lit("rows").alias("measure"), "hit", "n_rows", "total", F.col("rows").alias("approximate"))
-    by_weight = exact.where((F.col("total") > 0) & (F.col("total") >= F.lit(share) * F.col("all_total"))).select(
-        F.lit("weight").alias("measure"), "hit", "n_rows", "total", F.col("weight").alias("approximate")
+    by = lambda measure, approximate: F.struct(F.lit(measure).alias("measure"), F.col(approximate).alias("approximate"))
+    enough = F.array(
+        F.when(F.col("n_rows") >= F.lit(share) * F.col("all_rows"), by("rows", "rows")),
+        F.when((F.col("total") > 0) & (F.col("total") >= F.lit(share) * F.col("all_total")), by("weight", "weight")),
     )
-    return by_rows.unionByName(by_weight).withColumnRenamed("hit", "value")
+    out = exact.select(F.col("hit").alias("value"), "n_rows", "total", F.explode(F.array_compact(enough)).alias("x"))
+    return out.select("x.measure", "value", "n_rows", "total", "x.approximate")
