@@ -42,13 +42,17 @@ def has_entities(folded: Column) -> Column:
 def remove_entities(folded: Column) -> Column:
     """URLs, emails, mentions and hashtags become one space each; the leftmost alternative wins.
 
-    The pattern holds only the alternatives that the text can match: most short texts have hashtags and nothing else, for
-    which each position is tested against one character instead of all alternatives.
+    The pattern holds only the alternatives that the text can match: most short texts have tags and nothing else, for
+    which each position is tested against two characters instead of all alternatives.
     """
-    links = tuple(m for m in P.GATE if m not in "@#")
+    links = _any(folded, tuple(m for m in P.GATE if m not in "@#"))
+    mails = F.contains(folded, F.lit("@")) & folded.rlike(P.MAIL_CORE)
+    without = lambda *patterns: F.regexp_replace(folded, "|".join(patterns), " ")
     return (
-        F.when(_any(folded, ("@", *links)), F.regexp_replace(folded, P.CLEAN_JVM, " "))
-        .when(F.contains(folded, F.lit("#")), F.regexp_replace(folded, P.HASHTAG, " "))
+        F.when(links & mails, without(P.URL_JVM, P.EMAIL_JVM, P.TAG_JVM))
+        .when(links, without(P.URL_JVM, P.TAG_JVM))
+        .when(mails, without(P.EMAIL_JVM, P.TAG_JVM))
+        .when(_any(folded, ("@", "#")), without(P.TAG_JVM))
         .otherwise(folded)
     )
 
@@ -84,12 +88,20 @@ def signature(tokens: Column) -> Column:
     return F.array_join(F.array_sort(F.array_distinct(tokens)), "\x1f")
 
 
-def emails(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(P.EMAIL_JVM), F.lit(0))
+def _found(text: Column, marks: tuple[str, ...], pattern: str) -> Column:
+    """All matches of a pattern, looked for only where one of its marks is."""
+    return F.when(text.isNull(), None).when(_any(text, marks), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
+
+
+def _without(text: Column, marks: tuple[str, ...], pattern: str) -> Column:
+    return F.when(_any(text, marks), F.regexp_replace(text, pattern, " ")).otherwise(text)
+
+
+_LINK_MARKS = tuple(m for m in P.GATE if m not in "@#")
 
 
-def _without_emails(text: Column) -> Column:
-    return F.regexp_replace(text, P.EMAIL_JVM, " ")
+def emails(text: Column) -> Column:
+    return _found(text, ("@",), P.EMAIL_JVM)
 
 
 def _tidy_link(link: Column) -> Column:
@@ -97,17 +109,24 @@ def _tidy_link(link: Column) -> Column:
     return F.rtrim(F.regexp_replace(link, r"\A[^\p{IsAlphabetic}\p{IsDigit}_]", ""), F.lit(P.LINK_TRAIL))
 
 
+def _no_mail(text: Column) -> Column:
+    return _without(text, ("@",), P.EMAIL_JVM)
+
+
+def _no_link(text: Column) -> Column:
+    return _without(_no_mail(text), _LINK_MARKS, P.URL_JVM)
+
+
 def urls(text: Column) -> Column:
     """Links after emails are taken out."""
-    return F.transform(F.regexp_extract_all(_without_emails(text), F.lit(P.URL), F.lit(0)), _tidy_link)
+    return F.transform(_found(_no_mail(text), _LINK_MARKS, P.URL_JVM), _tidy_link)
 
 
 def mentions(text: Column) -> Column:
     """Mentions after emails and links are taken out."""
-    return F.regexp_extract_all(F.regexp_replace(_without_emails(text), P.URL, " "), F.lit(P.MENTION), F.lit(0))
+    return _found(_no_link(text), ("@",), P.MENTION)
 
 
 def hashtags(text: Column) -> Column:
     """Hashtags after emails, links and mentions are taken out."""
-    rest = F.regexp_replace(F.regexp_replace(_without_emails(text), P.URL, " "), P.MENTION, " ")
-    return F.regexp_extract_all(rest, F.lit(P.HASHTAG), F.lit(0))
+    return _found(_without(_no_link(text), ("@",), P.MENTION), ("#",), P.HASHTAG)

@@ -33,5 +33,11 @@ def vocabulary(lines: DataFrame, stopwords: DataFrame | None = None, min_length:
 
 
 def sized(words: DataFrame, limit: int = BROADCAST_WORDS) -> DataFrame:
-    """Marks the words for broadcast if a bounded count shows that they are few enough."""
-    return F.broadcast(words) if words.limit(limit + 1).count() <= limit else words
+    """Marks the words for broadcast if they are few enough.
+
+    A bounded collection tells, and what it fetched is the relation from then on, so the word list is read once.
+    """
+    rows = words.limit(limit + 1).toArrow()
+    if rows.num_rows > limit:
+        return words
+    return F.broadcast(words.sparkSession.createDataFrame(rows, words.schema))

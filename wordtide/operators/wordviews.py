@@ -15,9 +15,19 @@ def not_null(df: DataFrame, text: str = "desc", metric: str = "views") -> DataFr
     return df.select(metric, text).where(F.col(text).isNotNull() & F.col(metric).isNotNull())
 
 
+def explode_words(df: DataFrame, text: str, *keep: str) -> DataFrame:
+    """(keep..., word): one row per distinct word of each row. Rows without words vanish.
+
+    The clean text is a column of its own below the generator: a projection evaluates what its expressions share once,
+    a generator does not.
+    """
+    cleaned = df.select(*keep, T.clean(F.col(text)).alias("_cleaned"))
+    return cleaned.select(*keep, F.explode(F.array_distinct(T.words(F.col("_cleaned")))).alias("word"))
+
+
 def exploded(df: DataFrame, text: str = "desc", metric: str = "views") -> DataFrame:
-    """(metric, word): one row per distinct word of each row. Rows without words vanish."""
-    return spread(not_null(df, text, metric)).select(metric, F.explode(T.distinct_words(F.col(text))).alias("word"))
+    """(metric, word) of the rows where text and metric are there."""
+    return explode_words(spread(not_null(df, text, metric)), text, metric)
 
 
 def word_views(df: DataFrame, vocabulary: DataFrame | None = None, text: str = "desc", metric: str = "views") -> DataFrame:

@@ -231,7 +231,8 @@ def token_membership(spark, d):
     WHERE "desc" IS NOT NULL GROUP BY row_id"""
 )
 def tokens_in_vocabulary(spark, d):
-    tokens = texts(spark, d).select("row_id", F.explode_outer(T.distinct_words(F.col("desc"))).alias("word"))
+    words = texts(spark, d).select("row_id", T.distinct_words(F.col("desc")).alias("words"))
+    tokens = words.select("row_id", F.explode_outer("words").alias("word"))
     known = V.sized(vocab(spark, d).withColumn("known", F.lit(1)))
     return tokens.join(known, "word", "left").groupBy("row_id").agg(F.count("known").cast("int").alias("n_known"))
 
@@ -240,7 +241,7 @@ def tokens_in_vocabulary(spark, d):
 
 
 def _token_rows(spark, d):
-    return texts(spark, d).select("row_id", F.explode(T.distinct_words(F.col("desc"))).alias("word"))
+    return W.explode_words(texts(spark, d), "desc", "row_id")
 
 
 _ROWS = f'SELECT row_id, unnest({DISTINCT}) AS word FROM videos WHERE "desc" IS NOT NULL'

@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from wordtide.functions import text as T
+from wordtide.operators.wordviews import explode_words
 
 
 def streaming_word_views(stream: DataFrame, vocabulary: DataFrame | None = None, text: str = "desc", metric: str = "views") -> DataFrame:
     """(word, total_views) so far, for a complete or update sink. State is one row a word, bounded by the vocabulary."""
     rows = stream.select(metric, text).where(F.col(text).isNotNull() & F.col(metric).isNotNull())
-    tokens = rows.select(metric, F.explode(T.distinct_words(F.col(text))).alias("word"))
+    tokens = explode_words(rows, text, metric)
     if vocabulary is not None:
         tokens = tokens.join(vocabulary, "word", "left_semi")
     return tokens.groupBy("word").agg(F.sum(metric).alias("total_views"))
@@ -23,7 +23,7 @@ def windowed_word_views(
 ) -> DataFrame:
     """(start, word, total_views) per window of event time, for an append sink; rows later than ``late`` are left out."""
     rows = stream.where(F.col(text).isNotNull() & F.col(metric).isNotNull()).withWatermark(time, late)
-    tokens = rows.select(time, metric, F.explode(T.distinct_words(F.col(text))).alias("word"))
+    tokens = explode_words(rows, text, time, metric)
     totals = tokens.groupBy(F.window(time, window).alias("w"), "word").agg(F.sum(metric).alias("total_views"))
     return totals.select(F.col("w.start").alias("start"), "word", "total_views")
 
