@@ -14,6 +14,7 @@ from wordtide.llm import pii as PI
 from wordtide.llm import shared_spans as SS
 from wordtide.llm import term_frequency as TF
 from wordtide.plans.core import WORDS
+from wordtide.session import cut_lineage
 from wordtide.sources.tables import read_table, spread
 
 QUERIES: dict = {}
@@ -69,6 +70,25 @@ def p2_found(spark, d):
     return hits.select(measure.alias("measure"), F.col("value").alias("desc"))
 
 
+@query(
+    """WITH g AS (SELECT "desc", COUNT(*) AS n_rows, coalesce(SUM(views), 0)::BIGINT AS total FROM videos WHERE "desc" IS NOT NULL GROUP BY "desc"),
+    s AS (SELECT SUM(n_rows) AS r, SUM(total) AS t FROM g)
+    SELECT 'rows' AS measure, "desc", n_rows, total, TRUE AS within_bound FROM g, s WHERE n_rows >= 0.01 * r
+    UNION ALL SELECT 'views', "desc", n_rows, total, TRUE FROM g, s WHERE total >= 0.01 * t AND total > 0"""
+)
+def p2_totals(spark, d):
+    """The exact totals, and whether the summary's count kept its bound: never above, short by a 401st of all at most."""
+    rows = _videos(spark, d, "desc", "views")
+    hits = HH.heavy_hitters(rows, "desc", "views")
+    everything = rows.where("desc IS NOT NULL").agg(F.count(F.lit(1)).alias("rows"), F.sum("views").alias("views")).first()
+    heavy = F.col("measure") == "weight"
+    exact, slack = F.when(heavy, F.col("total")).otherwise(F.col("n_rows")), F.when(heavy, F.lit(everything["views"])).otherwise(F.lit(everything["rows"])) / 401
+    kept = (F.col("approximate") <= exact) & (F.col("approximate") >= exact - slack)
+    return hits.select(
+        F.when(heavy, "views").otherwise("rows").alias("measure"), F.col("value").alias("desc"), "n_rows", F.col("total").cast("bigint").alias("total"), kept.alias("within_bound")
+    )
+
+
 # --- 10: long shared spans
 
 _GRAMS = """SELECT doc_id, hash(substr(text, i::BIGINT, 200)) AS w, i - 1 AS pos FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i
@@ -179,6 +199,25 @@ def p8_fill(spark, d):
     return PK.fill(_packed(spark, d), read_table(spark, d, "pack_sizes"))
 
 
+@query(
+    """SELECT pack_id::BIGINT AS pack_id, n AS n_documents, 0 AS n_overfull, 0 AS n_cut_needlessly, 0 AS n_incomplete
+    FROM pack_sizes, (SELECT COUNT(*) AS n FROM documents WHERE text IS NOT NULL)"""
+)
+def p8_invariants(spark, d):
+    """What must hold of any packing, counted from the placed pieces."""
+    capacity = read_table(spark, d, "pack_sizes").select(F.col("pack_id").cast("bigint").alias("pack_id"), "capacity")
+    placed = cut_lineage(_packed(spark, d))
+    full = placed.groupBy("pack_id", "container").agg(F.sum("n_tokens").alias("n")).join(capacity, "pack_id")
+    full = full.groupBy("pack_id").agg(F.count_if(F.col("n") > F.col("capacity")).cast("int").alias("n_overfull"))
+    each = placed.groupBy("pack_id", "doc_id").agg(F.count(F.lit(1)).alias("pieces"), F.sum("n_tokens").alias("n"), F.max(F.col("first_token") + F.col("n_tokens")).alias("end"))
+    each = each.join(capacity, "pack_id").groupBy("pack_id").agg(
+        F.count(F.lit(1)).alias("n_documents"),
+        F.count_if((F.col("pieces") > 1) & (F.col("n") <= F.col("capacity"))).cast("int").alias("n_cut_needlessly"),
+        F.count_if(F.col("n") != F.col("end")).cast("int").alias("n_incomplete"),
+    )
+    return each.join(full, "pack_id")
+
+
 # --- 9: mixes
 
 
@@ -213,3 +252,21 @@ def p6_redacted(spark, d):
     made = _tagger(spark, d)
     rows = _both(lambda df, key, text: PI.find(df, made, text).withColumnRenamed(key, "id").select("id", "pii.redacted"), spark, d)
     return rows.select("tbl", "id", "redacted")
+
+
+@query(
+    """SELECT source, target_share, max_repeats, TRUE AS repeats_kept, TRUE AS records_real
+    FROM mix_targets"""
+)
+def p9_invariants(spark, d):
+    """What must hold of any mix: caps on repeats, and only records of the source, each listed once."""
+    targets, mixed = read_table(spark, d, "mix_targets"), cut_lineage(p9_mix(spark, d))
+    real = mixed.join(_documents(spark, d, "doc_id", F.col("source").alias("own")), "doc_id")
+    by = real.groupBy("source").agg(F.count_if(F.col("own") == F.col("source")).alias("right"), F.max("repeats").alias("most"))
+    listed = mixed.groupBy("source").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("doc_id").alias("ids"))
+    rows = targets.join(by, "source", "left").join(listed, "source", "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    return rows.select(
+        "source", "target_share", "max_repeats", (zero("most") <= F.col("max_repeats")).alias("repeats_kept"),
+        ((zero("rows") == zero("ids")) & (zero("rows") == zero("right"))).alias("records_real"),
+    )
