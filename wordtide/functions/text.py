@@ -85,48 +85,49 @@ def distinct_words(desc: Column) -> Column:
 
 def signature(tokens: Column) -> Column:
     """Sorted distinct words joined by U+001F."""
-    return F.array_join(F.array_sort(F.array_distinct(tokens)), "\x1f")
-
-
-def _found(text: Column, marks: tuple[str, ...], pattern: str) -> Column:
-    """All matches of a pattern, looked for only where one of its marks is."""
-    return F.when(text.isNull(), None).when(_any(text, marks), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
-
-
-def _without(text: Column, marks: tuple[str, ...], pattern: str) -> Column:
-    return F.when(_any(text, marks), F.regexp_replace(text, pattern, " ")).otherwise(text)
+    return F.array_join(F.sort_array(F.array_distinct(tokens)), "\x1f")
 
 
 _LINK_MARKS = tuple(m for m in P.GATE if m not in "@#")
 
 
 def emails(text: Column) -> Column:
-    return _found(text, ("@",), P.EMAIL_JVM)
+    return _matches(text, ("@",), text, P.EMAIL_JVM)
 
 
-def _tidy_link(link: Column) -> Column:
-    """Drops the boundary character that the match consumed, and trailing punctuation."""
-    return F.rtrim(F.regexp_replace(link, r"\A[^\p{IsAlphabetic}\p{IsDigit}_]", ""), F.lit(P.LINK_TRAIL))
+def _matches(text: Column, marks: tuple[str, ...], rest: Column, pattern: str) -> Column:
+    """All matches of a pattern in ``rest``, which is the text or what is left of it, if the text has one of the marks."""
+    found = F.regexp_extract_all(rest, F.lit(pattern), F.lit(0))
+    return F.when(text.isNull(), None).when(_any(text, marks), found).otherwise(F.array().cast("array<string>"))
+
+
+def _without(text: Column, marks: tuple[str, ...], rest: Column, pattern: str) -> Column:
+    return F.when(_any(text, marks), F.regexp_replace(rest, pattern, " ")).otherwise(rest)
 
 
 def _no_mail(text: Column) -> Column:
-    return _without(text, ("@",), P.EMAIL_JVM)
+    return _without(text, ("@",), text, P.EMAIL_JVM)
 
 
 def _no_link(text: Column) -> Column:
-    return _without(_no_mail(text), _LINK_MARKS, P.URL_JVM)
+    return _without(text, _LINK_MARKS, _no_mail(text), P.URL_JVM)
+
+
+def _tidy_link(link: Column) -> Column:
+    """Drops the boundary character that the match consumed, and trailing punctuation."""
+    return F.rtrim(F.regexp_replace(link, r"\A[^\p{IsAlphabetic}\p{IsDigit}_]", ""), F.lit(P.LINK_TRAIL))
 
 
 def urls(text: Column) -> Column:
     """Links after emails are taken out."""
-    return F.transform(_found(_no_mail(text), _LINK_MARKS, P.URL_JVM), _tidy_link)
+    return F.transform(_matches(text, _LINK_MARKS, _no_mail(text), P.URL_JVM), _tidy_link)
 
 
 def mentions(text: Column) -> Column:
     """Mentions after emails and links are taken out."""
-    return _found(_no_link(text), ("@",), P.MENTION)
+    return _matches(text, ("@",), _no_link(text), P.MENTION)
 
 
 def hashtags(text: Column) -> Column:
     """Hashtags after emails, links and mentions are taken out."""
-    return _found(_without(_no_link(text), ("@",), P.MENTION), ("#",), P.HASHTAG)
+    return _matches(text, ("#",), _without(text, ("@",), _no_link(text), P.MENTION), P.HASHTAG)

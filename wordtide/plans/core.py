@@ -318,7 +318,7 @@ def row_count(spark, d):
 @query(f"SELECT row_id, string_agg(word, {JOIN} ORDER BY word) AS words FROM (SELECT row_id, word FROM ({_ROWS}) WHERE word IN ({VOCAB})) GROUP BY row_id")
 def collect_words(spark, d):
     kept = semi_join_vocab(spark, d)
-    return kept.groupBy("row_id").agg(F.array_join(F.array_sort(F.collect_set("word")), "\x1f").alias("words"))
+    return kept.groupBy("row_id").agg(F.array_join(F.sort_array(F.collect_set("word")), "\x1f").alias("words"))
 
 
 # --- diagnostics
