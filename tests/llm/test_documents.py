@@ -172,6 +172,15 @@ def test_selection_does_not_depend_on_the_batch():
         assert whole[1][mine].tolist() == alone[1].tolist() and whole[2][mine].tolist() == alone[2].tolist()
 
 
+def test_long_texts_go_in_parts(monkeypatch):
+    r = random.Random(6)
+    text = "".join(r.choice("abc é") for _ in range(1000)) + "x" * 400
+    whole = SS.select_kmers([text], 50, 100)
+    monkeypatch.setattr(SS, "BLOCK", 128)
+    where, h = SS._select_long(text, 50, 100)
+    assert where.tolist() == whole[1].tolist() and h.tolist() == whole[2].tolist()
+
+
 def test_spans_edges(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "short")], "doc_id long, text string")
     assert SS.shared_pairs(df).collect() == [] and SS.shared_pairs(df.where("false")).collect() == []

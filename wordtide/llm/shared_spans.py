@@ -26,7 +26,7 @@ from pyspark.sql.window import Window as W
 
 from wordtide.session import cut_lineage
 
-#: Code points that are hashed at once; a longer text is one block of its own.
+#: Code points that are hashed at once; a longer text goes in overlapping parts.
 BLOCK = 1 << 20
 #: Buckets that name the records needed again; bounds what is broadcast to some MB.
 BUCKETS = 1 << 18
@@ -86,19 +86,38 @@ def select_kmers(texts: list[str], k: int, span: int) -> tuple[np.ndarray, np.nd
     return of[at], at - (ends - lengths)[of[at]], h[at].view(np.int64)
 
 
+def _select_long(text: str, k: int, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """(position, hash) for one text in parts of ``BLOCK``: every run of ``span`` lies whole in one of them."""
+    found: dict[int, int] = {}
+    for at in range(0, len(text) - span + 1, BLOCK):
+        _, where, h = select_kmers([text[at : at + BLOCK + span - 1]], k, span)
+        found.update(zip((where + at).tolist(), h.tolist(), strict=True))
+    where = np.array(sorted(found), dtype=np.int64)
+    return where, np.array([found[i] for i in where.tolist()], dtype=np.int64)
+
+
 def _kmers(k: int, span: int):
+    def rows(keys: pa.Array, of: np.ndarray, at: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(h), keys.take(pa.array(of)), pa.array(at.astype(np.int32))], names=["h", "doc", "at"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, texts, total, start = batch.column(0), [], 0, 0
+            keys, texts, owners, total = batch.column(0), [], [], 0
             for i, text in enumerate(batch.column(1).to_pylist()):
-                texts.append(text)
-                total += len(text)
-                if total >= BLOCK or i == batch.num_rows - 1:
+                if len(text) > BLOCK:
+                    at, h = _select_long(text, k, span)
+                    yield rows(keys, np.full(len(at), i), at, h)
+                else:
+                    texts.append(text)
+                    owners.append(i)
+                    total += len(text)
+                if texts and (total >= BLOCK or i == batch.num_rows - 1):
                     of, at, h = select_kmers(texts, k, span)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(h), keys.take(pa.array(of + start)), pa.array(at.astype(np.int32))], names=["h", "doc", "at"]
-                    )
-                    texts, total, start = [], 0, i + 1
+                    yield rows(keys, np.array(owners)[of], at, h)
+                    texts, owners, total = [], [], 0
+            if texts:
+                of, at, h = select_kmers(texts, k, span)
+                yield rows(keys, np.array(owners)[of], at, h)
 
     return run
 
