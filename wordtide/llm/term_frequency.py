@@ -18,11 +18,12 @@ def term_frequency(df: DataFrame, terms: Column) -> DataFrame:
     Null and empty arrays add nothing, null terms are skipped, an empty table gives an empty result. Other columns of the
     table are not looked at, whatever their names.
     """
-    listed = df.select(F.array_sort(F.array_compact(terms)).alias("_terms"))
+    # Sorting without a comparator stays in generated code, where what the expression of the terms repeats is evaluated once.
+    listed = df.select(F.sort_array(terms).alias("_terms"))
     first = F.transform(
-        F.col("_terms"), lambda t, i: F.struct(t.alias("term"), ((i == 0) | (F.get(F.col("_terms"), i - 1) != t)).cast("int").alias("new"))
+        F.col("_terms"), lambda t, i: F.struct(t.alias("term"), ((i == 0) | ~F.get(F.col("_terms"), i - 1).eqNullSafe(t)).cast("int").alias("new"))
     )
-    rows = listed.select(F.inline(first))
+    rows = listed.select(F.inline(first)).where(F.col("term").isNotNull())
     return rows.groupBy("term").agg(F.count(F.lit(1)).alias("occurrences"), F.sum("new").alias("records"))
 
 
