@@ -23,7 +23,7 @@ from wordtide.session import cut_lineage
 
 DIMENSIONS, BITS, BUCKETS = 3, 10, 1 << 12
 #: Documents of one task; a task leaves at most some open containers unfilled for each capacity.
-ROWS_PER_TASK = 50_000
+ROWS_PER_TASK = 200_000
 #: Documents that are packed together, and containers kept open between such blocks.
 BLOCK, OPEN = 4096, 512
 
