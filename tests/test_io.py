@@ -73,6 +73,16 @@ def test_runs(spark, tmp_path):
         cli.timed_run(spark, "none", s)
 
 
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
+    monkeypatch.setenv("WORDTIDE_RESULTS_DIR", str(tmp_path))
+    common = ["--dataset", f"{SMALL}/videos.parquet"]
+    assert cli.main(["run", *common, "-k", "2", "-m"]) == 0
+    assert "Query time:" in capsys.readouterr().out
+    assert cli.main(["diff", *common, "--out", f"{tmp_path}/d.csv"]) == 0 and (tmp_path / "d.csv").is_dir()
+    assert cli.main(["rows", *common, "--word", "storm"]) == 0
+    assert "views_fused" in capsys.readouterr().out
+
+
 def test_streams_equal_batches(spark, tmp_path):
     source = spark.read.parquet(f"{SMALL}/videos.parquet").select("desc", "views", "posted_at")
     source.repartition(3).write.parquet(f"{tmp_path}/in")

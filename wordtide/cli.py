@@ -1,4 +1,4 @@
-"""Command line: ``python -m wordtide.cli run|sweep|csv|rows``.
+"""Command line: ``python -m wordtide.cli run|sweep|csv|rows|diff``.
 
 Options given on the line override those from the environment (prefix ``WORDTIDE_``, unknown names ignored), which
 override the defaults.
@@ -113,12 +113,13 @@ def sweep(spark: SparkSession, name: str, s: Settings, partition_mib: list[int])
 
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="wordtide")
-    parser.add_argument("action", choices=("run", "sweep", "csv", "rows"))
+    parser.add_argument("action", choices=("run", "sweep", "csv", "rows", "diff"))
     parser.add_argument("-q", "--query", default="top")
     parser.add_argument("-k", "--top-k", type=int)
     parser.add_argument("-m", "--monitor", action="store_true", help="show progress")
     parser.add_argument("--word", help="for rows: the word whose rows are shown")
     parser.add_argument("--key", default="row_id")
+    parser.add_argument("--out", help="for diff: where the sample goes, .parquet or .csv")
     for name in ("dataset", "vocab", "stopwords", "results-dir", "text", "metric", "master"):
         parser.add_argument(f"--{name}")
     parser.add_argument("--min-word-length", type=int)
@@ -131,6 +132,9 @@ def main(argv: list[str] | None = None) -> int:
     elif args.action == "rows":
         diagnostics.attribution(spark.read.parquet(s.dataset), args.word, args.key, s.text, s.metric).show(truncate=False)
         diagnostics.word_rows(spark.read.parquet(s.dataset), args.word, args.key, s.text, s.metric).limit(20).show(truncate=80)
+    elif args.action == "diff":
+        sample = diagnostics.mismatch_sample(spark.read.parquet(s.dataset), key=args.key, text=s.text, metric=s.metric)
+        print(tables.write_table(sample, args.out or f"{s.results_dir}/tokenizer_mismatches.parquet"))
     elif args.action == "sweep":
         for mib, seconds in sweep(spark, args.query, s, [16, 64, 128, 256]):
             print(f"{mib} MiB: {seconds:.3f} s")

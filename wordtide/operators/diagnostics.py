@@ -47,6 +47,12 @@ def variants(df: DataFrame, key: str = "row_id", text: str = "desc", metric: str
     return rows.withColumn("differ", F.col("tokens_fused") != F.col("tokens_sequential"))
 
 
+def mismatch_sample(df: DataFrame, n: int = 5000, key: str = "row_id", text: str = "desc", metric: str = "views") -> DataFrame:
+    """Up to n distinct texts on which the variants differ, each by its first row, in order of the key."""
+    differing = variants(df, key, text, metric).where("differ").drop("differ")
+    return first_by_text(differing, key, text).orderBy(key).limit(n)
+
+
 def first_by_text(df: DataFrame, key: str = "row_id", text: str = "desc") -> DataFrame:
     """One row per distinct text, the one with the smallest key. Aggregates before the shuffle, so a hot text is no burden."""
     rest = [c for c in df.columns if c != text]

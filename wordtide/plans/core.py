@@ -353,6 +353,14 @@ def mismatch_counts(spark, d):
     return D.variants(videos(spark, d)).agg(F.count(F.lit(1)).alias("n_rows"), F.count_if("differ").alias("n_differ"))
 
 
+@query(
+    f"""SELECT row_id, views, "desc", tokens_fused, tokens_sequential FROM (SELECT *, row_number() OVER (PARTITION BY "desc" ORDER BY row_id) AS n
+    FROM ({_VARIANTS}) WHERE tokens_fused <> tokens_sequential) WHERE n = 1 ORDER BY row_id LIMIT 5000"""
+)
+def mismatch_sample(spark, d):
+    return D.mismatch_sample(videos(spark, d))
+
+
 @query('SELECT row_id, video_id, "desc", views FROM (SELECT *, row_number() OVER (PARTITION BY "desc" ORDER BY row_id) AS n FROM videos WHERE "desc" IS NOT NULL) WHERE n = 1')
 def dedup_first(spark, d):
     return D.first_by_text(videos(spark, d).select("row_id", "video_id", "desc", "views"))
