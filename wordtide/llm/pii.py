@@ -275,7 +275,7 @@ def _plausible(kind: str, parts: list[str]) -> bool:
     if kind == "id_number":
         return digits >= 6
     if kind == "address":
-        return digits > 0
+        return digits > 0 and parts[0][0].isalnum() and any(t.isalpha() and len(t) > 2 for t in parts) and all(t[0].isalnum() or t in ".,-'’º/ª#" for t in parts)
     return parts[0][0].isalpha() and all(t[0].isalpha() or t in ".,-'’" for t in parts)
 
 

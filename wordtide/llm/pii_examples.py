@@ -142,7 +142,8 @@ def _clause(r: random.Random, plain: list[str]) -> list[tuple[str, str | None]]:
         template = r.choice(PLAIN if r.random() < 0.5 else DECOYS)
         template = template if "{" in template else _form(r, template)
     elif kind < 0.54:
-        return [(r.choice(plain), None)]
+        line = r.choice(plain)
+        return [(line.upper() if r.random() < 0.15 else line, None)]
     elif kind < 0.58:
         return [(_garbled(r, r.choice(plain)), None)]
     else:
