@@ -11,6 +11,15 @@ from wordtide.functions import patterns as P
 BROADCAST_WORDS = 2_000_000
 
 
+#: A word list under this size is worked on in one task, which spares its distinct and its join the shuffles.
+ONE_TASK_BYTES = 4 << 20
+
+
+def _gathered(lines: DataFrame) -> DataFrame:
+    size = int(str(lines._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return lines.coalesce(1) if size < ONE_TASK_BYTES else lines
+
+
 def normalise(lines: DataFrame, column: str = "word", min_length: int = 3) -> DataFrame:
     """Raw lines to distinct lower-case words: trimmed, ASCII letters only, at least ``min_length`` of them.
 
@@ -19,7 +28,7 @@ def normalise(lines: DataFrame, column: str = "word", min_length: int = 3) -> Da
     space = f"[{P.SPACES}]+"
     word = F.regexp_replace(F.col(column), rf"\A{space}|{space}\z", "")
     return (
-        lines.select(word.alias("word"))
+        _gathered(lines).select(word.alias("word"))
         .where(F.col("word").rlike(rf"\A[A-Za-z]{{{int(min_length)},}}\z"))
         .select(F.lower("word").alias("word"))
         .distinct()
