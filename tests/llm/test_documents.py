@@ -162,6 +162,20 @@ def test_shared_spans_against_brute_force(spark, span, k):
         assert set(range(x.start, x.stop)) <= covered[x.doc]
 
 
+def test_edits_of_equal_length_end_a_span(spark):
+    """Forms that differ in a date or a number only: what stands between shared runs is compared as well."""
+    r = random.Random(12)
+    text = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    texts = []
+    for n, edit in [(180, 10), (190, 4), (199, 1), (199, 8), (199, 30), (250, 8), (150, 120)] * 3:
+        before, after = text(n), text(n)
+        texts += [before + c * edit + after for c in "XY"]
+    pairs, covered = spans_of(texts, 200)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    assert {(x.a, x.b) for x in SS.shared_pairs(df).collect()} == pairs and len(pairs) == 3
+    assert [n for _, n in sorted((x.doc, x.shared) for x in SS.shared_amount(df).collect())] == [len(c) for c in covered]
+
+
 def test_selection_does_not_depend_on_the_batch():
     r = random.Random(4)
     texts = ["".join(r.choice("abc é") for _ in range(n)) for n in (500, 10, 300, 0, 220)]

@@ -7,8 +7,9 @@ k-mer inside it: about 2 / (W + 1) of all k-mers stand for the whole graph, and
 The k-mers that occur in two records or more are the nodes of a de Bruijn graph whose edges join neighbours within a
 record, distance included. Where a node has one way in and one way out in all records, the path does not branch: it is
 compacted into its head, and as all records that hold any node of it then hold all of it, this takes one aggregate, one
-join and one window over each record's own nodes, without iteration. A path of MIN code points or more is itself a shared
-span. For a shorter one, the source coordinates fetch the text around it, and every window of MIN code points across the
+join and one window over each record's own nodes, without iteration. Neighbours further than K apart leave text between
+them that no k-mer covers and that may differ, so a path ends there; within a path every code point lies in a node. A path
+of MIN code points or more is therefore itself a shared span. For a shorter one, the source coordinates fetch the text around it, and every window of MIN code points across the
 path is compared. So no pairs are formed within a group before they are known to share a span.
 
 Nulls and texts shorter than MIN share nothing. Records are told apart by their key; an empty table gives no rows.
@@ -138,7 +139,7 @@ def paths(df: DataFrame, key: str, text: str, k: int, span: int) -> DataFrame:
     )
     ways = edges.groupBy("h").agg((F.min("came") == F.max("came")).alias("one_in"), (F.min("went") == F.max("went")).alias("one_out"))
     joined = nodes.join(ways, "h")
-    linked = F.coalesce(F.col("one_in") & F.lag("one_out").over(along), F.lit(False))
+    linked = F.coalesce(F.col("one_in") & F.lag("one_out").over(along) & (gap_in <= k), F.lit(False))
     starts = joined.withColumn("head_at", F.when(~linked, F.col("at"))).withColumn("head_h", F.when(~linked, F.col("h")))
     so_far = along.rowsBetween(W.unboundedPreceding, 0)
     named = starts.select("doc", "at", F.last("head_at", True).over(so_far).alias("start"), F.last("head_h", True).over(so_far).alias("head"))
