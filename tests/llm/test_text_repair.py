@@ -92,6 +92,15 @@ def test_other_pairs(source, taken, text):
     assert spans and not lost and same > 0.9, restored
 
 
+@pytest.mark.parametrize("codec", ["cp1251", "koi8-r"])
+def test_accents_that_show_as_look_alikes(codec):
+    """Words whose Latin letters are all like Cyrillic ones, and foreign letters that are like Latin ones beside others."""
+    for text in ("hoje com muita emoção", "mi mamá dice más", "la montaña es única", "verpasst nicht die Küche, das ist schön", "quem levou a mãe, porque não deu", "voilà la forêt"):
+        assert ER.restore(ER._read(text.encode("cp1252"), codec))[0] == text
+    for text in ("wе јuѕt lооk", "This іs how my ѕіstеr todaу", "Κardeşim sο", "To былo тиxo", "YouTubeе смотрите видео на канале", "МacТep и Maрина"):
+        assert ER.restore(text) == (text, 0, False)
+
+
 PROPER = [
     "plain", "", "NÃO PERCA A MANHÃ, ESTÁ MUITO RÁPIDA", "IRMÃ\xa0NÃO", "É\xa0assim que", "Voilà « tout »", "ВПЕРЁД И ЕЩЁ ЦВЕТОК", "кто ещё цветок любит?", "¿Qué? ¡Sí!", "Straße über",
     "Ağır İş ÇIĞ", "wе\xa0јuѕt lооk", "краcивый мoмeнт", "caf\u00e9’s “quote”", "25°C ±2 ½", f"text {PAYLOAD_MARKER}*\x08 rest", "こんにちは", "हिन्दी", "2 × 3 → 5 ✨", "l’été à Orléans",

@@ -8,7 +8,8 @@ Aho-Corasick automata in the texts that hold a telling pair of characters at all
   through it twice is searched again.
 * Cyrillic, Arabic, Japanese or Korean encodings taken for a Western one: single units prove nothing, so only unbroken
   chains of them count, and the source is the one whose letters are the most usual.
-* Western encodings taken for another single-byte one: foreign letters or signs inside a word of Latin letters.
+* Western encodings taken for another single-byte one: foreign letters or signs inside a word of Latin letters. Cyrillic and
+  Greek letters that look like Latin ones prove nothing unless another word of the text can't be read as look-alikes.
 * Cyrillic encodings taken for each other: words whose case is turned.
 
 Matched spans, and no others, are turned back. What was lost in decoding shows as U+FFFD: such text counts as garbled too,
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wordtide.functions import patterns as P
-from wordtide.llm.normal_form import char_class
+from wordtide.llm.normal_form import CYRILLIC, GREEK, char_class
 
 # Encodings, and the blocks of characters that texts of the twelve languages use.
 UTF8_AS = ("cp1252", "latin-1", "cp1254", "cp1251", "mac_roman", "cp437", "cp850", "cp866", "cp1250", "cp1256", "iso8859-15", "koi8-r")
@@ -247,15 +248,41 @@ def _signs(word: str) -> set[str]:
     return odd
 
 
+_FOREIGN_LETTER = re.compile("[Ͱ-ӿ]")
+_TO_LATIN = str.maketrans(CYRILLIC[0] + GREEK[0], CYRILLIC[1] + GREEK[1])
+#: Latin letters that stand for the letters of Russian.
+_TO_RUSSIAN = str.maketrans({b: a for a, b in zip(*CYRILLIC, strict=True) if a in "АВЕКМНОРСТУХасеорух"})
+_CASE_TURNED = re.compile("[^\\W\\d_A-Z][A-Z]")
+
+
+def _alike_only(word: str) -> bool:
+    """Whether a word of mixed scripts is one of a single script in which some letters were changed for look-alikes."""
+    if not re.search("[A-Za-z]", word.translate(_TO_RUSSIAN)):
+        return True
+    latin = word.translate(_TO_LATIN)
+    return not _FOREIGN_LETTER.search(latin) and not (_CASE_TURNED.search(latin) and not _CASE_TURNED.search(_FOREIGN_LETTER.sub("", word)))
+
+
+def _mixed_signs(words: list[str]) -> set[str]:
+    """Foreign letters of the words of mixed scripts that no look-alikes explain, in a text that is mostly in Latin letters,
+    if a reading turns these words into wholly Latin ones."""
+    mixed = [w for w in words if _FOREIGN_LETTER.search(w) and _PLAIN_LATIN.search(w) and not _alike_only(w)]
+    if not mixed:
+        return set()
+    text = "".join(words)
+    if len(_PLAIN_LATIN.findall(text)) <= len(_FOREIGN_LETTER.findall(text)):
+        return set()
+    return {c for w in mixed for _, table in _foreign() if not _FOREIGN_LETTER.search("".join([table.get(c, c) for c in w])) for c in w if _FOREIGN_LETTER.match(c)}
+
+
 _SIGNS = "".join({g for codec in LATIN_READ_AS for g in _decoder(codec)[128:] if not g.isalnum()} - set(CONTEXT) - set("\xa0\xad·²©®™°€"))
 
 
 def _undo_latin(text: str) -> tuple[str, int, int]:
     words = _WORD.findall(text)
-    odd = [w for w in words if _signs(w)]
-    if not odd:
+    signs = {c for w in words for c in _signs(w)} | _mixed_signs(words)
+    if not signs:
         return text, 0, 0
-    signs = {c for w in odd for c in _signs(w)}
     # The reading that explains all odd signs, and among these the one with the most small letters.
     turkish = len(signs & set("ýðÝÐ"))
     options = [(sum(c in table for c in signs), turkish * (codec == "cp1252"), sum(table.get(c, "").islower() for c in signs), -i, table) for i, (codec, table) in enumerate(_foreign())]
