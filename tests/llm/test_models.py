@@ -58,6 +58,15 @@ def test_mixed_and_not(model):
     assert {s[0] for s in both[2]} == {"ja", "en"}
 
 
+def test_marks_count_in_segments(model):
+    """A sentence in Devanagari has a third of its letters in vowel signs."""
+    for hi in ("यह रोटी बहुत नाज़ुक है इसे मत छोड़ना", "मैंने कभी इतना नाज़ुक गिटार नहीं देखा", "देखो हमने कैसे खाना के साथ तूफ़ान खोला"):
+        for text in (f"you don’t need a broken engine to love this notebook | {hi}", f"{hi} — you don’t need a broken engine to love this notebook"):
+            assert {s[0] for s in LI.classify(model, [text])[0][2]} == {"en", "hi"}
+        for text in (hi, f"Maple Festival: {hi}", f"{hi} on 2024-05-17 bakigatabi", "हिन्दी, you don’t need a broken engine to love this notebook"):
+            assert LI.classify(model, [text])[0][2] == []
+
+
 def test_no_language(model):
     assert LI.classify(model, [None, "", "wow #longhashtaghere @someone", "🔥🔥", "http://a.example/longpathhere"]) == [None] * 5
 

@@ -45,7 +45,8 @@ FOREIGN = 4.0
 LEAST_ESCAPE = 1 / 8
 #: Share of a language's letters that must be of a script for it to be one of its own.
 SCRIPT_SHARE = 0.2
-#: Letters, and words unless the script has none, that a segment needs.
+#: Letters with their marks, and words unless the script has none, that a segment needs. Only Latin is the script of several
+#: languages; where the script tells the language, ``LEAST_LETTERS`` are enough.
 SEGMENT_LETTERS, SEGMENT_WORDS, DENSE_LETTERS = 20, 5, 7
 #: Bits are divided by this before they become a confidence; neighbouring bytes are not independent.
 TEMPERATURE = 4.0
@@ -284,6 +285,11 @@ def _letters(listed: list[str]) -> int:
     return sum(c.isalpha() for w in listed for c in w)
 
 
+def _size(listed: list[str]) -> int:
+    """Letters and the marks that belong to them, such as the vowel signs of Devanagari."""
+    return sum(len(w) - w.count("'") for w in listed)
+
+
 def _paths(bits: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
     """The cheapest languages of the words of each text when a switch costs ``SWITCH``; all texts at once, word by word."""
     n, most = len(starts), int(lengths.max())
@@ -333,7 +339,8 @@ def _segments(path: np.ndarray, listed: list[str], bits: np.ndarray) -> list[tup
         others = [r for r in runs if r[2] != language]
         other = max(others, key=lambda r: r[1] - r[0])[2]
         wins = int((bits[a:b, language] < bits[a:b, other] - 0.5).sum())
-        return len(plain) >= SEGMENT_WORDS and _letters(part) >= SEGMENT_LETTERS and wins >= SEGMENT_WORDS - 1
+        least = SEGMENT_LETTERS if main == "latin" else LEAST_LETTERS
+        return len(plain) >= SEGMENT_WORDS and _size(part) >= least and wins >= SEGMENT_WORDS - 1
 
     kept = [r for r in runs if stands(*r)]
     if not kept:
@@ -385,7 +392,7 @@ def classify(model: Model, texts: list[str | None]) -> list[tuple[str, float, li
             if n in paths and paths[n].min() != paths[n].max():
                 own = bits[starts[n] : starts[n] + lengths[n]]
                 found = _segments(paths[n], listed[i], own)
-                best = names[max(found, key=lambda s: _letters(listed[i][s[0] : s[1]]))[2]]
+                best = names[max(found, key=lambda s: _size(listed[i][s[0] : s[1]]))[2]]
                 if len({s[2] for s in found}) > 1:
                     segments = [(names[s], float(_confidence(own[a:b].sum(0))), " ".join(listed[i][a:b])) for a, b, s in found]
             results[i] = (best, float(sure[n]), segments)
