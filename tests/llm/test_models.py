@@ -67,6 +67,14 @@ def test_marks_count_in_segments(model):
             assert LI.classify(model, [text])[0][2] == []
 
 
+def test_short_cyrillic_segment(model):
+    en = "we filmed the quiet river with my cousin before breakfast"
+    for text in (f"{en}. Спасибо за просмотр", f"Спасибо за просмотр! {en}"):
+        assert {s[0] for s in LI.classify(model, [text])[0][2]} == {"en", "ru"}
+    for text in (f"{en} with Пётр Громов", f"{en}, ул. Большая Садовая, д. 12", f"{en} привет", f"Анна и Пётр Громов, {en}"):
+        assert LI.classify(model, [text])[0][2] == []
+
+
 def test_no_language(model):
     assert LI.classify(model, [None, "", "wow #longhashtaghere @someone", "🔥🔥", "http://a.example/longpathhere"]) == [None] * 5
 

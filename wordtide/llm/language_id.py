@@ -48,11 +48,18 @@ SCRIPT_SHARE = 0.2
 #: Letters with their marks, and words unless the script has none, that a segment needs. Only Latin is the script of several
 #: languages; where the script tells the language, ``LEAST_LETTERS`` are enough.
 SEGMENT_LETTERS, SEGMENT_WORDS, DENSE_LETTERS = 20, 5, 7
+#: Words in small letters that a segment in Cyrillic needs if it is no address: no other language is written in it, and names
+#: have capitals.
+CYRILLIC_WORDS = 2
 #: Bits are divided by this before they become a confidence; neighbouring bytes are not independent.
 TEMPERATURE = 4.0
 
 # A usual way to write Russian in Latin letters, which the labelled texts lack.
 ROMAN = dict(zip("абвгдеёжзийклмнопрстуфхцчшщъыьэюя", "a b v g d e e zh z i j k l m n o p r s t u f kh ts ch sh sch  y  e yu ya".split(" "), strict=True))
+RUSSIAN_ADDRESS = frozenset(
+    "ул улица улице улицы д дом доме дома кв квартира квартире пр просп проспект проспекте пер переулок переулке пл площадь площади наб набережная набережной "
+    "ш шоссе бул бульвар бульваре корп корпус к стр строение офис подъезд этаж г город городе обл область пос посёлок индекс ящик".split()
+)
 # End of the fixed values.
 _DENSE = "぀-ヿ㐀-鿿々"
 _MARKS = "\u0300-\u036f\u064b-\u065f\u0670\u0900-\u0903\u093a-\u094f\u0951-\u0957\u0962\u0963"
@@ -336,6 +343,9 @@ def _segments(path: np.ndarray, listed: list[str], bits: np.ndarray) -> list[tup
             letters[script(w)] += len(w)
         main = letters.most_common(1)[0][0]
         plain = [w for i, w in enumerate(part) if script(w) == main and (shouting or not i or not w[0].isupper())]
+        own = [w for w in part if script(w) == "cyrillic"]
+        if main == "cyrillic" and sum(w[0].islower() for w in own) >= CYRILLIC_WORDS and _size(own) >= LEAST_LETTERS and not RUSSIAN_ADDRESS.intersection(map(str.lower, own)):
+            return True
         others = [r for r in runs if r[2] != language]
         other = max(others, key=lambda r: r[1] - r[0])[2]
         wins = int((bits[a:b, language] < bits[a:b, other] - 0.5).sum())
