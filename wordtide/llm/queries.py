@@ -235,9 +235,7 @@ def p9_shares(spark, d):
 
 
 def _tagger(spark, d):
-    hints = read_table(spark, d, "name_hints").where("name IS NOT NULL").orderBy("name", "kind").collect()  # a small list
-    plain = PI.plain_lines(read_table(spark, d, "documents"), "doc_id", "text", "lang")
-    return PI.tagger(tuple((r["name"], r["kind"]) for r in hints), plain)
+    return PI.fit(read_table(spark, d, "documents"), read_table(spark, d, "name_hints"))
 
 
 @query()

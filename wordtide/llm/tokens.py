@@ -33,6 +33,14 @@ def encoder(folder: str = FOLDER, vocabulary: str = VOCABULARY) -> Callable[[str
         return _encoding(f.read()).encode_ordinary
 
 
+def small_words(folder: str = FOLDER, vocabulary: str = VOCABULARY) -> set[str]:
+    """Words in small letters that have a token of their own: ordinary words of many languages, hardly any names."""
+    with open(os.path.join(folder, vocabulary), "rb") as f:
+        raw = [base64.b64decode(line.split()[0]) for line in f.read().splitlines()]
+    listed = (x.decode("utf-8", "replace") for x in raw if x.startswith(b" ") and len(x) > 3)
+    return {w for x in listed if (w := x[1:]).isalpha() and w.islower()}
+
+
 def sized(
     df: DataFrame,
     key: str,
