@@ -16,7 +16,8 @@ SMALL = "/root/testdata/sf0.001"
 
 @pytest.mark.parametrize("name", list(Q.SQL))
 def test_against_sql(spark, name):
-    assert compare(spark, duck(SMALL), name, Q.QUERIES[name], Q.SQL[name], SMALL) == ""
+    folder = "/root/testdata/sf0.01" if name == "p9_invariants" else SMALL  # the mix asks for more than the smallest table has
+    assert compare(spark, duck(folder), name, Q.QUERIES[name], Q.SQL[name], folder) == ""
 
 
 def test_term_frequency(spark):

@@ -110,6 +110,19 @@ def test_mix(spark):
     assert len(keys) == len(set(keys))
 
 
+@pytest.mark.parametrize("shard_tokens", [400, 2000, 20_000, 64_000_000])
+def test_size_and_shares_at_any_shard_size(spark, shard_tokens):
+    docs, targets = spark.read.parquet(f"{SMALL}/documents.parquet"), spark.read.parquet(f"{SMALL}/mix_targets.parquet")
+    report = MX.shares(MX.mix(docs, targets, total_tokens=100_000, blocks=200, shard_tokens=shard_tokens), targets).collect()
+    assert abs(sum(r.tokens for r in report) / 100_000 - 1) < 0.02
+    assert all(abs(r.actual_share - r.target_share) < 1 / 200 for r in report)
+
+
+def test_steps():
+    held = [(0, 5), (1, 50), (2, 5), (3, 4)]
+    assert MX._steps(held, 10) == [0, 2] and MX._steps(held, 14) == [0, 2, 3] and MX._steps(held, 0) == [] and MX._steps([(7, 50)], 30) == [7] and MX._steps([], 5) == []
+
+
 def test_mix_beyond_what_caps_allow(spark):
     rows = [(i, "word " * 20, "a" if i < 10 else "b") for i in range(200)] + [(900, None, "a"), (901, "", "b"), (902, "x", None), (903, "x", "other")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("block", F.lit(1)).withColumn("shard", F.lit(2)).withColumn("n_tokens", F.lit(5))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from wordtide.llm import encoding_repair as ER
 from wordtide.llm import heavy_hitters as HH
@@ -17,6 +18,9 @@ from wordtide.plans.core import WORDS
 from wordtide.session import cut_lineage
 from wordtide.sources.tables import read_table, spread
 
+#: Size of the mix whose shares ``p9_invariants`` compares with their targets, and how near they must come: a block of 200 and
+#: half of one more for the last record.
+MIX_TOKENS, MIX_NEAR = 20_000, 0.0075
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -253,18 +257,27 @@ def p6_redacted(spark, d):
 
 
 @query(
-    """SELECT source, target_share, max_repeats, TRUE AS repeats_kept, TRUE AS records_real
-    FROM mix_targets"""
+    """WITH n AS (SELECT source, COUNT(*) AS n_records FROM documents WHERE text <> '' GROUP BY source),
+    t AS (SELECT source, target_share, max_repeats, n_records > 0 AS present FROM mix_targets LEFT JOIN n USING (source))
+    SELECT source, target_share, max_repeats, TRUE AS repeats_kept, TRUE AS records_real, TRUE AS size_met,
+    CASE WHEN present THEN round(target_share / (SELECT SUM(target_share) FROM t WHERE present), 6) ELSE 0 END AS share FROM t"""
 )
 def p9_invariants(spark, d):
-    """What must hold of any mix: caps on repeats, and only records of the source, each listed once."""
+    """What must hold of any mix: caps on repeats, and only records of the source, each listed once. Of a mix of ``MIX_TOKENS``
+    tokens the size must be met to a fiftieth; ``share`` is the share reached, rounded to the target where it is within
+    ``MIX_NEAR`` of it, so that the SQL can state it."""
     targets, mixed = read_table(spark, d, "mix_targets"), cut_lineage(p9_mix(spark, d))
+    asked = MX.shares(MX.mix(_documents(spark, d, "doc_id", "text", "source"), targets, total_tokens=MIX_TOKENS, blocks=200, shard_tokens=2000), targets)
+    everything = W.partitionBy()  # one row a target
+    asked = asked.withColumns({"all": F.sum("tokens").over(everything), "goal": F.col("target_share") / F.sum(F.when(F.col("tokens") > 0, F.col("target_share"))).over(everything)})
+    reached = F.when(F.abs(F.col("actual_share") - F.col("goal")) <= MIX_NEAR, F.col("goal")).otherwise(F.col("actual_share"))
+    asked = asked.select("source", (F.abs(F.col("all") / MIX_TOKENS - 1) <= 0.02).alias("size_met"), F.round(reached, 6).alias("share"))
     real = mixed.join(_documents(spark, d, "doc_id", F.col("source").alias("own")), "doc_id")
     by = real.groupBy("source").agg(F.count_if(F.col("own") == F.col("source")).alias("right"), F.max("repeats").alias("most"))
     listed = mixed.groupBy("source").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("doc_id").alias("ids"))
-    rows = targets.join(by, "source", "left").join(listed, "source", "left")
+    rows = targets.join(by, "source", "left").join(listed, "source", "left").join(asked, "source", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     return rows.select(
-        "source", "target_share", "max_repeats", (zero("most") <= F.col("max_repeats")).alias("repeats_kept"),
+        "source", "target_share", "max_repeats", (zero("most") <= F.col("max_repeats")).alias("repeats_kept"), "size_met", "share",
         ((zero("rows") == zero("ids")) & (zero("rows") == zero("right"))).alias("records_real"),
     )
