@@ -95,11 +95,12 @@ def test_last_delivery(spark):
     assert sorted(r.row_id for r in D.last_delivery(df).collect()) == [2, 5]
 
 
-@pytest.mark.parametrize("fan_in", [2, 3, None])
-def test_tree_equals_plain_aggregate(spark, fan_in):
+@pytest.mark.parametrize("kw", [{"fan_in": 2}, {"fan_in": 3, "light": 20}, {"fan_in": 2, "light": 0}, {}])
+@pytest.mark.parametrize("metric", ["long", "decimal(20,0)"])
+def test_tree_equals_plain_aggregate(spark, kw, metric):
     data = [(i, "hot" if i % 3 else f"k{i % 7}", None if i % 5 == 0 else i % 11) for i in range(700)] + [(900, None, 1), (901, "", None), (902, "lone", None)]
-    df = spark.createDataFrame(data, "row_id long, desc string, views long").repartition(13)
-    got = {r.desc: (r.n_rows, r.first_row, r.top_row, r.total, r.highest) for r in per_key(df, fan_in=fan_in).collect()}
+    df = spark.createDataFrame(data, "row_id long, desc string, views long").withColumn("views", F.col("views").cast(metric)).withColumns({"k1": F.lit(1), "key": F.lit("x"), "_branch": F.lit(0)})
+    got = {r.desc: (r.n_rows, r.first_row, r.top_row, r.total, r.highest) for r in per_key(df.repartition(13), **kw).collect()}
     want = {}
     for key in {d for _, d, _ in data if d is not None}:
         own = [(i, v) for i, d, v in data if d == key]
@@ -109,6 +110,29 @@ def test_tree_equals_plain_aggregate(spark, fan_in):
     assert got == want
 
 
+def test_tree_packs_extremes(spark):
+    top, low = (1 << 63) - 1, -(1 << 63)
+    rows = [(top, "a", top), (top - 1, "a", top), (-5, "b", low), (7, "b", low), (-(10**17), "c", 0), (3, "c", None)]
+    df = spark.createDataFrame(rows, "row_id long, desc string, views long").repartition(5)
+    assert sorted((r.desc, r.top_row, r.highest) for r in per_key(df).collect()) == [("a", top - 1, top), ("b", -5, low), ("c", -(10**17), 0)]
+    with pytest.raises(Exception, match="can't be packed"):
+        per_key(spark.createDataFrame([(low, "a", 1)], df.schema)).collect()
+
+
+def test_tree_runs_rounds_by_hash(spark, monkeypatch):
+    """The query's own plan at sf0.01 has a round before the last and no sort; rounds grow with the logarithm of the chunks."""
+    from wordtide.plans import core
+    from wordtide.sources import tables
+
+    planned = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    plan = planned(core.QUERIES["p4_found"](spark, "/root/testdata/sf0.01"))
+    assert plan.count("Exchange hashpartitioning") == 2 and "SortAggregate" not in plan
+    monkeypatch.setattr(tables, "SPREAD_BELOW_BYTES", 0)
+    rows = spark.range(0, 640, 1, 64).selectExpr("id AS row_id", "if(id % 3 = 0, 'x', string(id)) AS desc", "id AS views")
+    # Beyond 16 chunks the first round is named twice, once for the light states.
+    assert [planned(per_key(rows.repartition(n), with_key=False)).count("Exchange hashpartitioning") for n in (1, 16, 64, 256)] == [1, 2, 4, 5]
+
+
 def test_tree_edges(spark):
     df = spark.createDataFrame([(1, None, 2), (1, None, 3)], "k int, desc string, _branch int")
     out = tree_aggregate(df, ["desc"], {"n": F.count(F.lit(1)), "m": F.max("_branch")}, {"n": F.sum, "m": F.max}, fan_in=2)

@@ -437,7 +437,7 @@ def run_log_summary(spark, d):
     FROM videos WHERE "desc" IS NOT NULL GROUP BY "desc" HAVING COUNT(*) >= 2"""
 )
 def p4_found(spark, d):
-    out = per_key(videos(spark, d)).where("n_rows >= 2")
+    out = per_key(videos(spark, d), with_key=False).where("n_rows >= 2")
     return out.select(F.col("first_row").alias("first_row_id"), F.col("top_row").alias("top_row_id"))
 
 
@@ -446,4 +446,4 @@ def p4_found(spark, d):
     FROM videos WHERE "desc" IS NOT NULL GROUP BY "desc\""""
 )
 def p4_per_desc(spark, d):
-    return per_key(videos(spark, d)).drop("top_row")
+    return per_key(videos(spark, d)).drop("top_row").withColumn("total", F.col("total").cast("bigint"))

@@ -27,6 +27,16 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if size < SPREAD_BELOW_BYTES and len(df._jdf.inputFiles()) < cores else df
 
 
+def partitions(df: DataFrame) -> int:
+    """How many partitions a table has, at least one; only planned where the plan tells, as counting those of a shuffled table
+    would run it."""
+    plan = df._jdf.queryExecution().executedPlan()
+    if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+        plan = plan.initialPlan()
+    planned = plan.outputPartitioning().numPartitions()
+    return max(1, planned or df.rdd.getNumPartitions())
+
+
 def read_word_lines(spark: SparkSession, path: str) -> DataFrame:
     """A text file with one word per line as (word). Bytes that are not UTF-8 are removed from their line."""
     return spark.read.text(path).select(F.regexp_replace("value", "\ufffd", "").alias("word"))
