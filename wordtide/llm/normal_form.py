@@ -6,8 +6,9 @@ scripts that look like Latin ones. Case, accents, punctuation, words and line br
 Distinct texts that hold anything but plain characters are exploded to positioned code points, joined with a broadcast
 table of what each becomes (its size is fixed by Unicode), and put together again. Where combining marks or conjoining
 letters occur, all characters are decomposed, marks are ordered by class within their cluster, and clusters recomposed by a
-second broadcast table. Exploding, ordering and rebuilding happen inside the tasks that made the texts distinct, so only
-distinct texts are shuffled, once.
+second broadcast table. The texts that need this are dealt to a fixed number of tasks by their hash before they are exploded,
+since a planner that merges partitions by bytes does not know that rows are about to be multiplied by characters; exploding,
+ordering and rebuilding then shuffle nothing.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from __future__ import annotations
 import unicodedata as U
 from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -110,9 +112,9 @@ def char_class(chars) -> str:
 
 #: Java patterns that match every text in which something joins or changes, and few others; a handful of ranges, since a
 #: class of all these characters costs each character a test of every range.
-MAY_JOIN = r"[\p{M}\x{1160}-\x{11ff}\x{ff9e}\x{ff9f}]"
+MAY_JOIN = r"(?=[^\x00-\x7f])[\p{M}\x{1160}-\x{11ff}\x{ff9e}\x{ff9f}]"
 MAY_CHANGE = (
-    r"[\xa0\xad\x{251}\x{261}\x{370}-\x{58f}\x{958}-\x{95f}\x{9dc}-\x{9df}\x{a33}-\x{a5e}\x{b5c}\x{b5d}\x{f43}-\x{fb9}\x{115f}-\x{180f}"
+    r"(?=[^\x00-\x7f])[\xa0\xad\x{251}\x{261}\x{370}-\x{58f}\x{958}-\x{95f}\x{9dc}-\x{9df}\x{a33}-\x{a5e}\x{b5c}\x{b5d}\x{f43}-\x{fb9}\x{115f}-\x{180f}"
     r"\x{1f00}-\x{1fff}\x{2000}-\x{200f}\x{2028}-\x{202f}\x{205f}-\x{206f}\x{2126}-\x{212b}\x{2329}-\x{232a}\x{2adc}\x{3000}\x{3164}"
     r"\x{f900}-\x{ffee}\x{1d15e}-\x{1d1c0}\x{2f800}-\x{2fa1d}\x{e0100}-\x{e01ef}]"
 )
@@ -129,9 +131,20 @@ def _keys(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit("second"), text).alias("k2")]
 
 
-def _table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+def _table(spark: SparkSession, columns: dict[str, list], kinds: list[pa.DataType]) -> DataFrame:
     """A broadcast table; its rows are as many as Unicode has such characters."""
-    return F.broadcast(spark.createDataFrame(rows, schema))
+    return F.broadcast(spark.createDataFrame(pa.table([pa.array(c, k) for c, k in zip(columns.values(), kinds, strict=True)], names=list(columns))))
+
+
+_PART = pa.struct([("ccc", pa.int32()), ("joins", pa.bool_()), ("n", pa.string())])
+
+
+@lru_cache(maxsize=1)
+def _parts() -> dict[str, list]:
+    """Characters that are not their own single part, and what they become."""
+    made = {c: [(U.combining(x), _first_join(x), x) for x in _decomposed(c)] for c in dict.fromkeys([*_assigned(), *sorted(joining())])}
+    made = {c: p for c, p in made.items() if p != [(0, False, c)]}
+    return {"c": list(made), "parts": [[dict(zip(("ccc", "joins", "n"), x, strict=True)) for x in p] for p in made.values()]}
 
 
 def _points(texts: DataFrame) -> DataFrame:
@@ -143,31 +156,34 @@ def distinct_forms(df: DataFrame, text: str) -> DataFrame:
     spark = df.sparkSession
     rows = df.select(*_keys(F.col(text)), F.col(text).alias("text")).where(F.col("text").isNotNull())
     texts = rows.groupBy("k1", "k2").agg(F.first("text").alias("text"))
-    foreign = F.col("text").rlike(r"[^\x00-\x7f]")
+    foreign = F.octet_length("text") > F.length("text")
     joins, changes = foreign & F.col("text").rlike(MAY_JOIN), foreign & F.col("text").rlike(MAY_CHANGE)
-    plain = texts.where(~(joins | changes)).withColumn("form", F.col("text"))
-
-    singles = _table(spark, list(_single().items()), "c string, n string")
-    one = _points(texts.where(~joins & changes)).join(singles, "c", "left")
+    kind = F.when(joins, 2).when(changes, 1).otherwise(0)
+    texts = texts.withColumn("kind", kind)
+    plain = texts.where("kind = 0").withColumn("form", F.col("text"))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    foreign_texts = texts.where("kind > 0").repartition(tasks, "k1", "k2")
+
+    singles = _table(spark, {"c": list(_single()), "n": list(_single().values())}, [pa.string()] * 2)
+    one = _points(foreign_texts.where("kind = 1")).join(singles, "c", "left")
     one = one.groupBy("k1", "k2").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("n", "c").alias("n")))).alias("p"))
     one = one.select("k1", "k2", F.array_join(F.col("p.n"), "").alias("form"))
 
-    parts = [(c, [(U.combining(x), _first_join(x), x) for x in _decomposed(c)]) for c in {*_assigned(), *joining()}]
-    wide = _table(spark, parts, "c string, parts array<struct<ccc:int,joins:boolean,n:string>>")
+    wide = _table(spark, _parts(), [pa.string(), pa.list_(_PART)])
     own = F.array(F.struct(F.lit(0).alias("ccc"), F.lit(False).alias("joins"), F.col("c").alias("n")))
-    many = _points(texts.where(joins)).join(wide, "c", "left").select("k1", "k2", "at", F.posexplode(F.coalesce("parts", own)).alias("sub", "p"))
+    many = _points(foreign_texts.where("kind = 2")).join(wide, "c", "left").select("k1", "k2", "at", F.posexplode(F.coalesce("parts", own)).alias("sub", "p"))
     along = W.partitionBy("k1", "k2").orderBy("at", "sub")
     starts = ((F.col("p.ccc") == 0) & ~F.col("p.joins")).cast("int")
     many = many.withColumn("cluster", F.sum(starts).over(along)).select("k1", "k2", "cluster", F.struct("p.ccc", "at", "sub", "p.n").alias("p"))
     clusters = many.groupBy("k1", "k2", "cluster").agg(F.array_sort(F.collect_list("p")).alias("p")).select("k1", "k2", "cluster", F.col("p.n").alias("p"))
     longest = max(map(len, compositions()))
-    made = _table(spark, list(compositions().items()), "d string, made string")
+    made = _table(spark, {"d": list(compositions()), "made": list(compositions().values())}, [pa.string()] * 2)
     tries = clusters
     best = F.lit(None).cast("string")
     for n in range(2, longest + 1):
         start = F.when(F.size("p") >= n, F.array_join(F.slice("p", 1, n), ""))
         tries = tries.withColumn("d", start).join(made.withColumnRenamed("made", f"made{n}"), "d", "left").drop("d")
-        best = F.coalesce(F.when(F.col(f"made{n}").isNotNull(), F.concat(F.col(f"made{n}"), F.array_join(F.slice("p", n + 1, 1 << 20), ""))), best)
+        best = F.coalesce(F.when(F.col(f"made{n}").isNotNull(), F.concat(F.col(f"made{n}"), F.array_join(F.slice("p", F.lit(n + 1), F.size("p")), ""))), best)
     tries = tries.select("k1", "k2", "cluster", F.coalesce(best, F.array_join("p", "")).alias("n"))
     many = tries.groupBy("k1", "k2").agg(F.array_sort(F.collect_list(F.struct("cluster", "n"))).alias("p"))
     many = many.select("k1", "k2", F.array_join(F.col("p.n"), "").alias("form"))
@@ -187,20 +203,39 @@ def normalise(df: DataFrame, text: str, out: str = "form") -> DataFrame:
     return keyed.join(forms, [k1, k2], "left").withColumn(out, F.when(F.col(text).isNotNull(), F.col(out))).drop(k1, k2)
 
 
-def look_alikes(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(a, b), a < b: the rows whose texts differ in their characters but have one form.
+#: Keys of texts with a look-alike that are broadcast, at 16 bytes each; more are joined by shuffle.
+BROADCAST_KEYS = 1_000_000
+#: Parts that the rows of one text are split into where they are joined by shuffle.
+SALTS = 32
+
+
+def _spread_join(many: DataFrame, few: DataFrame, on: list[str], salt: Column) -> DataFrame:
+    """Inner join in which the rows of ``many`` with one key are split by ``salt``; ``few`` is repeated for each part."""
+    split = F.pmod(F.xxhash64(salt), F.lit(SALTS)).cast("int")
+    return many.withColumn("_salt", split).join(few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*on, "_salt"]).drop("_salt")
+
+
+def look_alikes(df: DataFrame, key: str, text: str, within: str | None = None) -> DataFrame:
+    """(within, a, b), a < b: the rows, of one ``within`` if that is given, whose texts differ in their characters but have one
+    form. Identical texts are no pair, nulls have none.
 
-    Forms are compared once for each distinct text; rows come in only for texts that have a look-alike. Identical texts
-    are no pair, nulls have none.
+    Forms are compared once for each distinct text. Rows come in only for texts that have a look-alike: by a broadcast of
+    their keys if these are few, and otherwise by a join in which the rows of one text are split over ``SALTS`` tasks. The
+    result is as large as there are such pairs of rows; ``normalise`` says the same in a row for each row.
     """
     forms = distinct_forms(df, text).select("k1", "k2", F.xxhash64("form").alias("f1"), F.xxhash64(F.lit("second"), F.col("form")).alias("f2"))
-    forms = cut_lineage(forms)  # four hashes a text, used three times
-    shared = forms.groupBy("f1", "f2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("f1", "f2")
-    members = forms.join(shared, ["f1", "f2"])
-    left = members.select("f1", "f2", F.struct("k1", "k2").alias("x"))
-    right = members.select("f1", "f2", F.struct("k1", "k2").alias("y"))
-    pairs = left.join(right, ["f1", "f2"]).where("x < y").select("x", "y")
-    rows = df.where(F.col(text).isNotNull()).select(F.col(key).alias("id"), F.struct(*_keys(F.col(text))).alias("k"))
-    first = pairs.join(rows.select(F.col("k").alias("x"), F.col("id").alias("i")), "x")
-    both = first.join(rows.select(F.col("k").alias("y"), F.col("id").alias("j")), "y")
-    return both.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"))
+    shared = F.count(F.lit(1)).over(W.partitionBy("f1", "f2")) > 1  # distinct texts of one form, never a hot group of rows
+    members = cut_lineage(forms.withColumn("shared", shared).where("shared").drop("shared"))
+    few = members.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    group = [F.col(within).alias("g")] if within else [F.lit(0).alias("g")]
+    rows = df.where(F.col(text).isNotNull()).select(*group, F.col(key).alias("id"), *_keys(F.col(text)))
+    keys = members.select("k1", "k2")
+    own = rows.join(F.broadcast(keys), ["k1", "k2"]) if few else _spread_join(rows, keys, ["k1", "k2"], F.col("id"))
+    own = cut_lineage(own)
+    left = members.select("f1", "f2", F.col("k1").alias("x1"), F.col("k2").alias("x2"))
+    right = members.select("f1", "f2", F.col("k1").alias("y1"), F.col("k2").alias("y2"))
+    pairs = left.join(right, ["f1", "f2"]).where("x1 < y1 OR x1 = y1 AND x2 < y2").select("x1", "x2", "y1", "y2")
+    first = _spread_join(own.select("g", F.col("id").alias("i"), F.col("k1").alias("x1"), F.col("k2").alias("x2")), pairs, ["x1", "x2"], F.col("i"))
+    both = _spread_join(first.select("g", "i", "y1", "y2"), own.select("g", F.col("id").alias("j"), F.col("k1").alias("y1"), F.col("k2").alias("y2")), ["g", "y1", "y2"], F.col("i"))
+    out = both.select("g", F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"))
+    return out.withColumnRenamed("g", within) if within else out.drop("g")

@@ -149,15 +149,41 @@ def _both(f, spark, d):
     return got[0].unionByName(got[1])
 
 
-@query()
+def _all_texts(spark, d):
+    """(tbl, id, text) of videos and tokenizer cases; few enough rows are dealt to all cores."""
+    tables = (("videos", "row_id", "desc"), ("tokenizer_cases", "case_id", "text"))
+    got = [spread(read_table(spark, d, t).select(F.lit(t).alias("tbl"), F.col(key).alias("id"), F.col(text).alias("text"))) for t, key, text in tables]
+    return got[0].unionByName(got[1])
+
+
+def _forms_sql() -> str:
+    """Letters by ``translate``, then composition by the database. Characters that vanish come last, without a counterpart."""
+    one = {c: n for c in NF._assigned() if c not in "\x00" and len(n := NF.normal(c)) == 1 and n != c}
+    gone = [c for c in NF._assigned() if NF.normal(c) == ""]
+    plain, tail = [*one], "".join(gone)
+    texts = """SELECT 'videos' AS tbl, row_id AS id, "desc" AS text FROM videos UNION ALL SELECT 'tokenizer_cases', case_id, text FROM tokenizer_cases"""
+    chars, to = ", ".join(str(ord(c)) for c in [*plain, *tail]), ", ".join(str(ord(one[c])) for c in plain)
+    listed = lambda points: f"(SELECT string_agg(chr(c), '' ORDER BY i) FROM (SELECT unnest([{points}]) AS c, generate_subscripts([{points}], 1) AS i))"
+    # The database's normalisation ends at a zero, so zeros are something else meanwhile.
+    form = f"nfc_normalize(translate(replace(text, chr(0), chr({0xE000})), {listed(chars)}, {listed(to)}))"
+    return f"SELECT tbl, id, replace({form}, chr({0xE000}), chr(0)) AS form, text FROM ({texts})"
+
+
+_FORMS = _forms_sql()
+
+
+@query(
+    f"""WITH f AS (SELECT * FROM ({_FORMS}) WHERE text IS NOT NULL)
+    SELECT a.tbl, least(a.id, b.id) AS id_a, greatest(a.id, b.id) AS id_b FROM f a JOIN f b ON a.tbl = b.tbl AND a.form = b.form AND a.text < b.text"""
+)
 def p5_found(spark, d):
-    return _both(NF.look_alikes, spark, d).select("tbl", F.col("a").alias("id_a"), F.col("b").alias("id_b"))
+    pairs = NF.look_alikes(_all_texts(spark, d), "id", "text", "tbl")
+    return pairs.select("tbl", F.col("a").alias("id_a"), F.col("b").alias("id_b"))
 
 
-@query()
+@query(f"SELECT tbl, id, form FROM ({_FORMS})")
 def p5_forms(spark, d):
-    forms = _both(lambda df, key, text: NF.normalise(df, text).select(F.col(key).alias("id"), "form"), spark, d)
-    return forms.select("tbl", "id", "form")
+    return NF.normalise(_all_texts(spark, d), "text").select("tbl", "id", "form")
 
 
 # --- 3: languages
