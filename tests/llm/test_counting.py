@@ -62,3 +62,12 @@ def test_heavy_hitters(spark):
     assert got == {("rows", "hot"): (300, 300), ("rows", ""): (31, 0), ("weight", "rich"): (1, 10**15)}
     assert HH.heavy_hitters(df.where("false"), "desc", "views").collect() == []
     assert {r.measure for r in HH.heavy_hitters(df, "desc", None, 0.02).collect()} == {"rows"}
+
+
+def test_weights_beyond_64_bits(spark):
+    """Sums of a batch that exceed 64 bits, and unsigned weights above 2**63."""
+    for kind, big in (("long", 6 * 10**18), ("decimal(20,0)", 18 * 10**18)):
+        df = spark.createDataFrame([("a", str(big)), ("a", str(big)), ("b", "1"), ("c", None), ("d", "-4")], "desc string, w string").coalesce(1)
+        df = df.select("desc", F.col("w").cast(kind).alias("views"))
+        got = {r.value: (int(r.total), int(r.approximate)) for r in HH.heavy_hitters(df, "desc", "views").where("measure = 'weight'").collect()}
+        assert got == {"a": (2 * big, 2 * big)}

@@ -14,10 +14,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from wordtide.sources.tables import partitions
+
 #: Summaries merged in one task.
 FAN_IN = 256
 _SCHEMA = "part int, measure string, value string, n decimal(38,0)"
@@ -38,6 +41,14 @@ def _add(summary: pd.Series, values: np.ndarray, counts: np.ndarray, counters: i
     return pd.Series(counts, index=values, dtype=object)
 
 
+def _numbers(column: pa.ChunkedArray) -> np.ndarray:
+    """As 64-bit integers where all fit, else as Python's."""
+    try:
+        return pc.cast(column, pa.int64()).to_numpy()
+    except pa.ArrowInvalid:
+        return np.array([int(x) for x in column.to_pylist()], dtype=object)
+
+
 def _summarise(counters: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = {"rows": pd.Series(dtype=object), "weight": pd.Series(dtype=object)}
@@ -46,10 +57,11 @@ def _summarise(counters: int):
             if not batch.num_rows:
                 continue
             part = batch.column("part")[0].as_py()
-            groups = pa.table({"value": batch.column("value"), "w": batch.column("w")}).group_by("value").aggregate([([], "count_all"), ("w", "sum")])
+            table = pa.table({"value": batch.column("value"), "w": pc.cast(batch.column("w"), pa.decimal128(38, 0))})
+            groups = table.group_by("value").aggregate([([], "count_all"), ("w", "sum")])
             values = np.array(groups.column("value").to_pylist(), dtype=object)
             for measure, name in (("rows", "count_all"), ("weight", "w_sum")):
-                counts = np.array([c or 0 for c in groups.column(name).to_pylist()], dtype=np.int64)
+                counts = _numbers(groups.column(name))
                 # A batch's own surplus goes the same way first; numbers are still small there.
                 v, c = reduce_summary(values, counts, counters)
                 parts[measure] = _add(parts[measure], v, c, counters)
@@ -73,14 +85,21 @@ def _merge(counters: int):
     return run
 
 
+def _rows(df: DataFrame, value: str, weight: str | None) -> DataFrame:
+    """(value, w) of the rows with a value; unsigned 64-bit weights, which are read as decimals, stay decimals."""
+    kind = "bigint" if not weight or dict(df.dtypes)[weight] in ("tinyint", "smallint", "int", "bigint") else "decimal(38,0)"
+    zero = F.lit(0).cast(kind)
+    w = F.greatest(F.coalesce(F.col(weight).cast(kind), zero), zero) if weight else zero
+    return df.select(F.col(value).alias("value"), w.alias("w")).where(F.col("value").isNotNull())
+
+
 def summaries(df: DataFrame, value: str, weight: str | None, counters: int) -> DataFrame:
     """(measure, value, n): one merged summary for each of the measures ``rows`` and ``weight``.
 
     Null values are left out, null and negative weights count as nothing. The empty string is a value like others.
     """
-    w = F.greatest(F.coalesce(F.col(weight).cast("bigint"), F.lit(0)), F.lit(0)) if weight else F.lit(0).cast("bigint")
-    rows = df.select(F.col(value).alias("value"), w.alias("w")).where(F.col("value").isNotNull())
-    chunks = max(1, rows.rdd.getNumPartitions())
+    rows = _rows(df, value, weight)
+    chunks = partitions(rows)
     level = rows.withColumn("part", F.spark_partition_id()).mapInArrow(_summarise(counters), _SCHEMA)
     while True:
         chunks = math.ceil(chunks / FAN_IN)
@@ -101,8 +120,7 @@ def heavy_hitters(df: DataFrame, value: str, weight: str | None = None, share: f
     found = summaries(df, value, weight, counters)
     # Bounded: at most ``counters`` values for each of the two measures.
     wanted = F.broadcast(found.groupBy("value").pivot("measure", ["rows", "weight"]).agg(F.max("n")))
-    w = F.greatest(F.coalesce(F.col(weight).cast("bigint"), F.lit(0)), F.lit(0)) if weight else F.lit(0).cast("bigint")
-    rows = df.select(F.col(value).alias("value"), w.alias("w")).where(F.col("value").isNotNull())
+    rows = _rows(df, value, weight)
     joined = rows.join(wanted.select(F.col("value").alias("hit"), "rows", "weight"), F.col("value") == F.col("hit"), "left")
     exact = joined.groupBy("hit").agg(
         F.count(F.lit(1)).alias("n_rows"), F.sum(F.col("w").cast("decimal(38,0)")).alias("total"), F.max("rows").alias("rows"), F.max("weight").alias("weight")

@@ -1,7 +1,8 @@
 """Problem 1: how often every term occurs, and in how many records.
 
-Every record emits its terms in sorted order with a flag on the first of each, so that one row serves both counts. Spark
-combines these rows by hash inside each task before the shuffle; what moves is one row per distinct term and task.
+Every record emits a count for each of its distinct terms: its terms are sorted, and a term's count is the distance between
+the first places of it and of the next. Spark combines these rows by hash inside each task before the shuffle; what moves is
+one row per distinct term and task.
 """
 
 from __future__ import annotations
@@ -18,13 +19,13 @@ def term_frequency(df: DataFrame, terms: Column) -> DataFrame:
     Null and empty arrays add nothing, null terms are skipped, an empty table gives an empty result. Other columns of the
     table are not looked at, whatever their names.
     """
-    # Sorting without a comparator stays in generated code, where what the expression of the terms repeats is evaluated once.
-    listed = df.select(F.sort_array(terms).alias("_terms"))
-    first = F.transform(
-        F.col("_terms"), lambda t, i: F.struct(t.alias("term"), ((i == 0) | ~F.get(F.col("_terms"), i - 1).eqNullSafe(t)).cast("int").alias("new"))
-    )
-    rows = listed.select(F.inline(first)).where(F.col("term").isNotNull())
-    return rows.groupBy("term").agg(F.count(F.lit(1)).alias("occurrences"), F.sum("new").alias("records"))
+    # Sorting without a comparator stays in generated code; each step is a column of its own, which is evaluated once.
+    listed, all_ = df.select(F.sort_array(terms).alias("_terms")), F.col("_terms")
+    new = F.transform(all_, lambda t, i: F.when((i == 0) | ~F.get(all_, i - 1).eqNullSafe(t), i))
+    listed, starts = listed.select(all_, F.array_compact(new).alias("_starts")), F.col("_starts")
+    counts = F.transform(starts, lambda at, i: F.struct(F.get(all_, at).alias("term"), (F.coalesce(F.get(starts, i + 1), F.size(all_)) - at).alias("n")))
+    rows = listed.select(F.inline(counts)).where(F.col("term").isNotNull())
+    return rows.groupBy("term").agg(F.sum("n").alias("occurrences"), F.count(F.lit(1)).alias("records"))
 
 
 def mark(counts: DataFrame, n_records: int, rare_at_most: int = 2, common_at_least: float = 0.05) -> DataFrame:
