@@ -62,6 +62,18 @@ def test_mixed_and_not(model):
     assert {s[0] for s in both[2]} == {"ja", "en"}
 
 
+def test_segments_have_places_and_confidence_is_of_the_language(model):
+    en, es = "we filmed the quiet river with my cousin before breakfast", "mi mamá dice que la cámara es más tranquila que el puente"
+    wide = en.replace("quiet", "\u200bqu\u200biet").replace("river", "ｒｉｖｅｒ")
+    for a, b in ((en, es), (es, en), (wide, es), (es.replace("á", "a\u0301"), wide)):
+        text = f"@some.one {a} https://x.example/a — {b} #tag"
+        lang, sure, segments = LI.classify(model, [text])[0]
+        assert len(segments) == 2 and sure > 0.5
+        assert [text[s[3] : s[4]] for s in segments] == [a if "\u200b" not in a else a, b]
+        longest = max(segments, key=lambda s: s[4] - s[3])
+        assert lang in {s[0] for s in segments} and sure in {s[1] for s in segments if s[0] == lang} and longest[4] <= len(text)
+
+
 def test_marks_count_in_segments(model):
     """A sentence in Devanagari has a third of its letters in vowel signs."""
     for hi in ("यह रोटी बहुत नाज़ुक है इसे मत छोड़ना", "मैंने कभी इतना नाज़ुक गिटार नहीं देखा", "देखो हमने कैसे खाना के साथ तूफ़ान खोला"):

@@ -61,8 +61,6 @@ LOOKALIKE_LATIN = "aceopxyisjhbkmtnABCEHIJKMNOPSTXYZ"
 LOOKALIKE_OTHER = "асеорхуіѕјһԁӏАВСЕНІЈКМОРЅТХУοιναρυκΑΒΕΖΗΙΚΜΝΟΡΤΥΧкмтнвгьЬ"
 # End of the fixed values.
 LOST = "\ufffd"
-#: Times a text is searched again; each pass undoes one wrong decoding.
-PASSES = 4
 _PAYLOAD = re.compile(P.PAYLOAD_LINE)
 
 
@@ -357,7 +355,11 @@ def restore(text: str) -> tuple[str, int, bool]:
     western = _undo_western(out)
     if western[2] > _undo_utf8(out)[2]:
         out, spans = western[:2]
-    for step in (*[_undo_utf8] * PASSES, _undo_latin, _undo_cyrillic):
+    n = 1
+    while n:  # each pass undoes one wrong decoding and shortens the text
+        out, n, _ = _undo_utf8(out)
+        spans += n
+    for step in (_undo_latin, _undo_cyrillic):
         out, n, _ = step(out)
         spans += n
     for payload in held:
@@ -370,8 +372,8 @@ _RESULT = T.StructType([T.StructField("restored", T.StringType()), T.StructField
 
 @F.pandas_udf(_RESULT)
 def _restore(texts: pd.Series) -> pd.DataFrame:
-    got = [(None, 0, False) if t is None else restore(t) for t in texts]
-    return pd.DataFrame(got, columns=["restored", "spans", "lost"])
+    done = {t: restore(t) for t in texts.dropna().unique()}  # a few texts hold most rows
+    return pd.DataFrame([(None, 0, False) if t is None else done[t] for t in texts], columns=["restored", "spans", "lost"])
 
 
 def _may(c: Column) -> Column:

@@ -97,17 +97,39 @@ def _one_script(m: re.Match) -> str:
 
 
 def prepare(text: str) -> str:
-    """What is looked at: repaired if garbled, look-alikes and width folded, entities and payload gone."""
+    """What is looked at: repaired if garbled, look-alikes and width folded, entities and payload blank."""
     if not text.isascii():
         if _SUSPECT.search(text):
             text = ER.restore(text)[0]
-        text = unicodedata.normalize("NFC", _PAYLOAD.sub(" ", text).translate(_fold_table()))
+        text = unicodedata.normalize("NFC", _PAYLOAD.sub(_blank, text).translate(_fold_table()))
         if _MIXED.search(text):
             text = _MIXED.sub(_one_script, text)
             # Words of look-alikes alone belong to the script of all the rest.
             if len(_PLAIN_LATIN.findall(text)) > len(_OWN_CYRILLIC.findall(text)):
                 text = _ALL_ALIKE.sub(lambda m: m[0].translate(_TO_LATIN), text)
-    return _ENTITY.sub(" ", text).replace("’", "'")
+    return _ENTITY.sub(_blank, text).replace("’", "'")
+
+
+def _blank(m: re.Match) -> str:
+    return " " * len(m[0])
+
+
+def origins(text: str) -> list[tuple[int, int]] | None:
+    """For each character of the prepared text the part of the text that it comes from; None if the text was repaired."""
+    if text.isascii():
+        return [(i, i + 1) for i in range(len(text))]
+    out: list[tuple[int, int]] = []
+    parts, at, table = [], 0, _fold_table()
+    while at < len(text):
+        end = at + 1
+        while end < len(text) and (unicodedata.combining(text[end]) or text[end] in NF.joining()):
+            end += 1
+        parts.append(unicodedata.normalize("NFC", text[at:end].translate(table)))
+        out += [(at, end)] * len(parts[-1])
+        at = end
+    # All else that preparing does keeps the number of characters.
+    same = "".join(parts) == unicodedata.normalize("NFC", text.translate(table)) and len(prepare(text)) == len(out)
+    return out if same and not (_SUSPECT.search(text) and ER.restore(text)[0] != text) else None
 
 
 def words(prepared: str) -> list[str]:
@@ -211,12 +233,7 @@ def train(texts: dict[str, list[str]]) -> Model:
     Texts quote other languages, a closing line for instance. So a first model judges every line, and the lines that it
     surely finds to be of another language than their text are left out of the second, which is the result.
     """
-    return _train(tuple((language, tuple(own)) for language, own in texts.items()))
-
-
-@lru_cache(maxsize=2)
-def _train(texts: tuple[tuple[str, tuple[str, ...]], ...]) -> Model:
-    lines = {language: [line for t in own for line in t.split("\n") if line.strip()] for language, own in texts}
+    lines = {language: [line for t in own for line in t.split("\n") if line.strip()] for language, own in texts.items()}
     first = _count(lines)
     kept = {}
     for language, own in lines.items():
@@ -368,19 +385,24 @@ def _segments(path: np.ndarray, listed: list[str], bits: np.ndarray) -> list[tup
     return [(a, b, language) for a, b, language in merged]
 
 
-def _confidence(bits: np.ndarray) -> np.ndarray:
-    z = -(bits - bits.min(-1, keepdims=True)) * (np.log(2) / TEMPERATURE)
-    e = np.exp(z)
-    return e.max(-1) / e.sum(-1)
+def _confidence(bits: np.ndarray, language: int) -> float:
+    """How sure a language is, given the bits of all."""
+    e = np.exp(-(bits - bits.min()) * (np.log(2) / TEMPERATURE))
+    return float(e[language] / e.sum())
 
 
-def classify(model: Model, texts: list[str | None]) -> list[tuple[str, float, list[tuple[str, float, str]]] | None]:
-    """For each text (language, confidence, segments), or None for null and for too few letters. Equal texts once."""
+def classify(model: Model, texts: list[str | None]) -> list[tuple[str, float, list[tuple]] | None]:
+    """For each text (language, confidence, segments), or None for null and for too few letters. Equal texts once.
+
+    The language of a mixed text is that of its longest segment, and the confidence that segment's. A segment is (language,
+    confidence, words, start, end); the bounds are those of the text as it stands, None if it had to be repaired.
+    """
     places: dict[str, int] = {}
     for t in texts:
         if t is not None:
             places.setdefault(t, len(places))
-    listed = [words(prepare(t)) for t in places]
+    distinct = list(places)
+    listed = [words(prepare(t)) for t in distinct]
     enough = [i for i, ws in enumerate(listed) if _letters(ws) >= LEAST_LETTERS]
     vocabulary: dict[str, int] = {}
     ids = [vocabulary.setdefault(w.lower(), len(vocabulary)) for i in enough for w in listed[i]]
@@ -390,32 +412,38 @@ def classify(model: Model, texts: list[str | None]) -> list[tuple[str, float, li
         lengths = np.array([len(listed[i]) for i in enough])
         starts = np.cumsum([0, *lengths])[:-1]
         total = np.add.reduceat(bits, starts, axis=0)
-        sure = _confidence(total)
         # Where free switching would not pay for one switch, no path with switches is the cheapest.
         free = np.add.reduceat(bits.min(1), starts)
         maybe = np.flatnonzero(total.min(1) - free > SWITCH)
         paths = dict(zip(maybe, _paths(bits, starts[maybe], lengths[maybe]), strict=True)) if len(maybe) else {}
         names = model.languages
         for n, i in enumerate(enough):
-            best = names[int(total[n].argmin())]
-            segments = []
+            best = int(total[n].argmin())
+            sure, segments = _confidence(total[n], best), []
             if n in paths and paths[n].min() != paths[n].max():
                 own = bits[starts[n] : starts[n] + lengths[n]]
                 found = _segments(paths[n], listed[i], own)
-                best = names[max(found, key=lambda s: _size(listed[i][s[0] : s[1]]))[2]]
+                first, last, best = max(found, key=lambda s: _size(listed[i][s[0] : s[1]]))
+                sure = _confidence(own[first:last].sum(0), best)
                 if len({s[2] for s in found}) > 1:
-                    segments = [(names[s], float(_confidence(own[a:b].sum(0))), " ".join(listed[i][a:b])) for a, b, s in found]
-            results[i] = (best, float(sure[n]), segments)
+                    text = distinct[i]
+                    where, came = [m.span() for m in _WORD.finditer(prepare(text))], origins(text)
+                    bounds = [(came[where[a][0]][0], came[where[b - 1][1] - 1][1]) if came else (None, None) for a, b, _ in found]
+                    segments = [(names[s], _confidence(own[a:b].sum(0), s), " ".join(listed[i][a:b]), *at) for (a, b, s), at in zip(found, bounds, strict=True)]
+            results[i] = (names[best], sure, segments)
     return [None if t is None else results[places[t]] for t in texts]
 
 
-_SEGMENT = T.StructType([T.StructField("lang", T.StringType()), T.StructField("confidence", T.DoubleType()), T.StructField("text", T.StringType())])
+_FIELDS = ("lang", "confidence", "text", "start", "stop")
+_KINDS = (T.StringType(), T.DoubleType(), T.StringType(), T.IntegerType(), T.IntegerType())
+_SEGMENT = T.StructType([T.StructField(n, k) for n, k in zip(_FIELDS, _KINDS, strict=True)])
 RESULT = T.StructType([T.StructField("lang", T.StringType()), T.StructField("confidence", T.DoubleType()), T.StructField("segments", T.ArrayType(_SEGMENT))])
-_ARROW = pa.struct([("lang", pa.string()), ("confidence", pa.float64()), ("segments", pa.list_(pa.struct([("lang", pa.string()), ("confidence", pa.float64()), ("text", pa.string())])))])
+_ARROW = pa.struct([("lang", pa.string()), ("confidence", pa.float64()), ("segments", pa.list_(pa.struct(list(zip(_FIELDS, (pa.string(), pa.float64(), pa.string(), pa.int32(), pa.int32()), strict=True)))))])
 
 
 def identify(df: DataFrame, model: Model, text: str = "desc", out: str = "language") -> DataFrame:
-    """Adds a struct ``out`` (lang, confidence, segments): segments only for texts that mix languages, in order.
+    """Adds a struct ``out`` (lang, confidence, segments): segments only for texts that mix languages, in order, each with its
+    place in the text (from ``start`` to before ``stop``, in code points).
 
     Null for null texts and for texts of fewer than ``LEAST_LETTERS`` letters outside entities. Rows and all other columns
     stay as they are; nothing is shuffled. The model is broadcast; its size is bounded by the sample it was learnt from.
@@ -427,7 +455,7 @@ def identify(df: DataFrame, model: Model, text: str = "desc", out: str = "langua
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = classify(shared.value, batch.column(at).to_pylist())
-            rows = [None if g is None else {"lang": g[0], "confidence": g[1], "segments": [dict(zip(("lang", "confidence", "text"), s, strict=True)) for s in g[2]]} for g in got]
+            rows = [None if g is None else {"lang": g[0], "confidence": g[1], "segments": [dict(zip(_FIELDS, s, strict=True)) for s in g[2]]} for g in got]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, _ARROW)], names=names)
 
     return df.mapInArrow(run, schema)

@@ -22,8 +22,9 @@ from wordtide.llm import tokens
 from wordtide.session import cut_lineage
 
 DIMENSIONS, BITS, BUCKETS = 3, 10, 1 << 12
-#: Documents of one task; a task leaves at most some open containers unfilled for each capacity.
-ROWS_PER_TASK = 200_000
+#: Documents of one task at most, and at least if all cores have that many; a task leaves some open containers unfilled for
+#: each capacity, so shorter stretches of the curve waste more.
+ROWS_PER_TASK, LEAST_ROWS = 200_000, 1_000
 #: Documents that are packed together, and containers kept open between such blocks.
 BLOCK, OPEN = 4096, 512
 
@@ -133,7 +134,9 @@ def pack(df: DataFrame, capacities: dict[int, int], key: str = "doc_id", text: s
     """
     items = tokens.sized(df, key, text, describe=("curve", T.LongType(), curve_keys), **tokenizer)
     items = cut_lineage(items)  # three numbers a document; the sort would otherwise encode all texts twice
-    parts = max(1, math.ceil(items.count() / rows_per_task))
+    count = items.count()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    parts = max(1, math.ceil(count / rows_per_task), min(cores, count // LEAST_ROWS))
     tie = F.xxhash64(key)  # splits a cell that holds many documents
     line = items.repartitionByRange(parts, "curve", tie).sortWithinPartitions("curve", tie).withColumn("task", F.spark_partition_id())
     key_field = items.schema[key]

@@ -208,7 +208,7 @@ def p3_languages(spark, d):
 def p3_segments(spark, d):
     rows = LI.identify(_videos(spark, d, "row_id", "desc"), _language_model(spark, d))
     each = rows.select("row_id", F.posexplode("language.segments").alias("at", "s"))
-    return each.select("row_id", "at", "s.lang", F.round("s.confidence", 4).alias("confidence"), "s.text")
+    return each.select("row_id", "at", "s.lang", F.round("s.confidence", 4).alias("confidence"), "s.text", "s.start", "s.stop")
 
 
 # --- 8: containers
