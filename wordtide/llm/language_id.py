@@ -233,21 +233,23 @@ def train(texts: dict[str, list[str]]) -> Model:
     Texts quote other languages, a closing line for instance. So a first model judges every line, and the lines that it
     surely finds to be of another language than their text are left out of the second, which is the result.
     """
-    lines = {language: [line for t in own for line in t.split("\n") if line.strip()] for language, own in texts.items()}
-    first = _count(lines)
-    kept = {}
+    lines = {language: list(dict.fromkeys(line for t in own for line in t.split("\n") if line.strip())) for language, own in texts.items()}
+    listed = {line: words(prepare(line)) for own in lines.values() for line in own}
+    occurring = {language: [w for t in own for line in t.split("\n") for w in listed.get(line, ())] for language, own in texts.items()}
+    first, left_out = _count(occurring), {}
     for language, own in lines.items():
-        found = classify(first, own)
-        kept[language] = [line for line, f in zip(own, found, strict=True) if f is None or f[1] < 0.9 or f[0] == language and not f[2]]
-    return _count(kept)
+        found = classify(first, own, listed)
+        left_out[language] = {line for line, f in zip(own, found, strict=True) if f and f[1] >= 0.9 and (f[0] != language or f[2])}
+    return _count({language: [w for t in own for line in t.split("\n") if line not in left_out[language] for w in listed.get(line, ())] for language, own in texts.items()})
 
 
-def _count(texts: dict[str, list[str]]) -> Model:
-    languages = list(texts)
+def _count(occurring: dict[str, list[str]]) -> Model:
+    """A model from the words of each language, as often as they occur."""
+    languages = list(occurring)
     per_language = []
     scripts: dict[str, list[int]] = {}
     for at, language in enumerate(languages):
-        listed = [w for t in texts[language] for w in words(prepare(t).lower())]
+        listed = [w.lower() for w in occurring[language]]
         if language == "ru":
             listed += [roman for w in listed if (roman := "".join(ROMAN.get(c, c) for c in w)) != w]
         counts: Counter = Counter()
@@ -391,18 +393,19 @@ def _confidence(bits: np.ndarray, language: int) -> float:
     return float(e[language] / e.sum())
 
 
-def classify(model: Model, texts: list[str | None]) -> list[tuple[str, float, list[tuple]] | None]:
+def classify(model: Model, texts: list[str | None], known: dict[str, list[str]] | None = None) -> list[tuple[str, float, list[tuple]] | None]:
     """For each text (language, confidence, segments), or None for null and for too few letters. Equal texts once.
 
     The language of a mixed text is that of its longest segment, and the confidence that segment's. A segment is (language,
-    confidence, words, start, end); the bounds are those of the text as it stands, None if it had to be repaired.
+    confidence, words, start, end); the bounds are those of the text as it stands, None if it had to be repaired. ``known``
+    are the words of texts, if they were taken before.
     """
     places: dict[str, int] = {}
     for t in texts:
         if t is not None:
             places.setdefault(t, len(places))
     distinct = list(places)
-    listed = [words(prepare(t)) for t in distinct]
+    listed = [known[t] if known else words(prepare(t)) for t in distinct]
     enough = [i for i, ws in enumerate(listed) if _letters(ws) >= LEAST_LETTERS]
     vocabulary: dict[str, int] = {}
     ids = [vocabulary.setdefault(w.lower(), len(vocabulary)) for i in enough for w in listed[i]]
