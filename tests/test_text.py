@@ -29,6 +29,8 @@ CASES = [
     ("bit.ly alone", [], [], [], [], "bit alone"),
     ("youtube.com and m.youtube.com/watch?v=1", [], ["youtube.com", "m.youtube.com/watch?v=1"], [], [], "and"),
     ("fooyoutube.combar", [], [], [], [], "fooyoutube combar"),
+    ("(see www.a.example/x)", [], ["www.a.example/x"], [], [], "see"),
+    ("www.a.example/x_(y) (http://b.example/(z).). https://c.example/))", [], ["www.a.example/x_(y)", "http://b.example/(z)", "https://c.example/"], [], [], ""),
     ("linktr.ee/me amzn.to/1 tinyurl.com/2 youtu.be/3", [], ["linktr.ee/me", "amzn.to/1", "tinyurl.com/2", "youtu.be/3"], [], [], ""),
     ("unknown.example/path", [], [], [], [], "unknown example path"),
     ("more at https://a.example/b\u2026", [], ["https://a.example/b\u2026"], [], [], "more"),

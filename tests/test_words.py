@@ -5,6 +5,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from wordtide.functions import patterns as P
 from wordtide.operators import diagnostics as D
 from wordtide.operators import vocabulary as V
 from wordtide.operators import wordviews as W
@@ -69,20 +70,44 @@ def test_partials_merge(spark, rows):
 
 
 def test_small_broadcast_is_checked(spark):
-    few, many = words(spark, "a", "b"), words(spark, "a", "b", "c")
-    assert "broadcast" in V.sized(few, 2)._jdf.queryExecution().logical().toString().lower() and "broadcast" not in V.sized(many, 2)._jdf.queryExecution().logical().toString().lower()
+    lines = spark.read.parquet("/root/testdata/sf0.001/vocabulary.parquet")
+    hinted = lambda df: "broadcast" in df._jdf.queryExecution().logical().toString().lower()
+    assert hinted(V.sized(V.vocabulary(lines, lines))) and not hinted(V.sized(V.vocabulary(lines, lines), 10))
 
 
 def test_word_rows_and_attribution(rows):
     assert sorted(r.row_id for r in D.word_rows(rows, "storm").collect()) == [1, 6]
     a = D.attribution(rows, "storm").first()
-    assert (a.n_fused, a.views_fused, a.only_fused, a.only_sequential) == (2, 10, 0, 0)
+    assert (a.n_fused, a.views_fused, a.n_sequential, a.n_to_end, a.fused_only, a.sequential_only) == (2, 10, 2, 2, 0, 0)
     assert D.attribution(rows.where("false"), "storm").first().views_fused == 0
 
 
 def test_variants_flag_differences(spark):
     df = spark.createDataFrame([(1, "@bit.ly/deal😀word", 1), (2, "same", 1), (3, None, 1)], "row_id int, desc string, views int")
     assert {r.row_id: r.differ for r in D.variants(df).collect()} == {1: True, 2: False}
+    mark = P.PAYLOAD_MARKER
+    two = f"one {mark}abc\nmiddle {mark} hidden\nlast"
+    df = spark.createDataFrame([(1, two, 5), (2, f"plain {mark}x", 7), (3, "http://a.example/x none", None), (4, None, 1), (5, "", 2)], "row_id int, desc string, views int")
+    got = {r.row_id: (r.fused_vs_sequential, r.fused_vs_to_end, r.sequential_vs_to_end) for r in D.variants(df).collect()}
+    assert got == {1: (True, True, True), 2: (False, False, False), 3: (False,) * 3, 5: (False,) * 3}
+    named = lambda word: sorted(r.difference for r in D.difference_rows(df, word).collect())
+    assert named("hidden") == ["fused_only"] and named("middle") == ["sequential_only_vs_to_end"] and named("one") == named("nothing") == []
+    counts = D.attribution(df, "hidden").first()
+    assert (counts.n_fused, counts.n_sequential, counts.n_to_end, counts.fused_only, counts.views_fused) == (1, 0, 0, 1, 5)
+
+
+@pytest.mark.parametrize("longest", [4096, 0])
+def test_known_words(spark, monkeypatch, longest):
+    monkeypatch.setattr(V, "ARRAY_WORDS", longest)
+    df = spark.createDataFrame([(1, "b a b x"), (2, ""), (3, None), (4, "c"), (5, "b a b x")], "id int, t string").withColumn("word", F.lit("a"))
+    words = spark.createDataFrame([("b",), ("a",), ("z",)], "word string")
+    got = {r.id: r.w and list(r.w) for r in V.known_words(df, F.split("t", " "), words, "id", "w").collect()}
+    assert got == {1: ["a", "b"], 2: [], 3: [], 4: [], 5: ["a", "b"]}
+
+
+def test_unsigned_totals_merge(spark):
+    part = spark.createDataFrame([("a", Decimal(18 * 10**18))], "word string, total_views decimal(38,0)")
+    assert [(r.word, int(r.total_views)) for r in W.merge_partials([part, part]).collect()] == [("a", 36 * 10**18)]
 
 
 def test_first_by_text(spark):

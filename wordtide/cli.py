@@ -1,7 +1,8 @@
 """Command line: ``python -m wordtide.cli run|sweep|csv|rows|diff``.
 
 Options given on the line override those from the environment (prefix ``WORDTIDE_``, unknown names ignored), which
-override the defaults.
+override those of a file ``.env`` in the working folder, which override the defaults. ``-q`` takes ``top``, ``all``, or the
+name of any query of ``plans.core``, which reads the tables of the dataset's folder.
 """
 
 from __future__ import annotations
@@ -17,7 +18,9 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+from wordtide.monitor import SystemMonitor
 from wordtide.operators import diagnostics, vocabulary, wordviews
+from wordtide.plans import core
 from wordtide.session import CONF, ship
 from wordtide.sources import tables
 
@@ -39,10 +42,20 @@ class Settings:
             raise ValueError("min_word_length and top_k must be positive")
 
 
+def env_file(path: str = ".env") -> dict[str, str]:
+    """NAME=value lines of a file, if there is one; comments and other lines are passed over, quotes around a value dropped."""
+    if not os.path.isfile(path):
+        return {}
+    with open(path, encoding="utf-8") as f:
+        pairs = [line.strip().removeprefix("export ").partition("=") for line in f if "=" in line and not line.lstrip().startswith("#")]
+    return {name.strip(): value.strip().strip("\"'") for name, _, value in pairs}
+
+
 def settings(given: dict) -> Settings:
-    """Defaults, then the environment, then what was given and is not None."""
+    """Defaults, then the file ``.env``, then the environment, then what was given and is not None."""
     fields = {f.name: f.type for f in dataclasses.fields(Settings)}
-    env = {n: os.environ[f"WORDTIDE_{n.upper()}"] for n in fields if f"WORDTIDE_{n.upper()}" in os.environ}
+    named = env_file() | os.environ
+    env = {n: named[f"WORDTIDE_{n.upper()}"] for n in fields if f"WORDTIDE_{n.upper()}" in named}
     both = env | {k: v for k, v in given.items() if v is not None and k in fields}
     return Settings(**{k: int(v) if fields[k] == "int" else v for k, v in both.items()})
 
@@ -62,6 +75,15 @@ RUNS: dict[str, Callable[[SparkSession, Settings], DataFrame]] = {
 }
 
 
+def find_run(name: str) -> Callable[[SparkSession, Settings], DataFrame]:
+    """A query by its name."""
+    if name in RUNS:
+        return RUNS[name]
+    if name in core.QUERIES:
+        return lambda spark, s: core.QUERIES[name](spark, os.path.dirname(s.dataset) or ".")
+    raise ValueError(f"{name}: expected one of {sorted([*RUNS, *core.QUERIES])}")
+
+
 @contextmanager
 def progress(spark: SparkSession, report: Callable[[float], None] | None) -> Iterator[None]:
     """Reports the share of finished tasks of the running stages, some times a second, while the block runs."""
@@ -88,16 +110,14 @@ def progress(spark: SparkSession, report: Callable[[float], None] | None) -> Ite
 
 def timed_run(spark: SparkSession, name: str, s: Settings, report: Callable[[float], None] | None = None) -> tuple[list, float]:
     """Runs a query; the clock covers the collection of its rows only. Writes the result and the run log afterwards."""
-    if name not in RUNS:
-        raise ValueError(f"{name}: expected one of {sorted(RUNS)}")
-    df = RUNS[name](spark, s)
+    df = find_run(name)(spark, s)
     with progress(spark, report):
         t = time.perf_counter()
         rows = df.collect()
         took = time.perf_counter() - t
     os.makedirs(s.results_dir, exist_ok=True)
     tables.write_table(spark.createDataFrame(rows, df.schema), f"{s.results_dir}/{name}.parquet")
-    best = min(rows, key=lambda r: (-r["total_views"], r["word"]), default=None)
+    best = min(rows, key=lambda r: (-r["total_views"], r["word"]), default=None) if {"word", "total_views"} <= set(df.columns) else None
     tables.append_run_log(f"{s.results_dir}/runs.csv", name, took, best and (best["word"], best["total_views"]))
     return rows, took
 
@@ -131,6 +151,7 @@ def main(argv: list[str] | None = None) -> int:
         print(tables.parquet_to_csv(spark, s.dataset))
     elif args.action == "rows":
         diagnostics.attribution(spark.read.parquet(s.dataset), args.word, args.key, s.text, s.metric).show(truncate=False)
+        diagnostics.difference_rows(spark.read.parquet(s.dataset), args.word, args.key, s.text, s.metric).limit(20).show(truncate=80)
         diagnostics.word_rows(spark.read.parquet(s.dataset), args.word, args.key, s.text, s.metric).limit(20).show(truncate=80)
     elif args.action == "diff":
         sample = diagnostics.mismatch_sample(spark.read.parquet(s.dataset), key=args.key, text=s.text, metric=s.metric)
@@ -140,10 +161,13 @@ def main(argv: list[str] | None = None) -> int:
             print(f"{mib} MiB: {seconds:.3f} s")
     else:
         report = (lambda p: print(f"\r{p:5.1f} %", end="", file=sys.stderr)) if args.monitor else None
-        rows, took = timed_run(spark, args.query, s, report)
+        with SystemMonitor() as system:
+            rows, took = timed_run(spark, args.query, s, report)
         for r in rows[: s.top_k]:
-            print(f"{r['word']}\t{r['total_views']}")
+            print("\t".join(map(str, r)))
         print(f"Query time: {took:.3f} s")
+        if args.monitor:
+            print(f"Peak: {system.peak_cpu:.0f} % CPU, {system.peak_mb} MB of memory", file=sys.stderr)
     return 0
 
 

@@ -13,38 +13,29 @@ ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
 URL_CHARS = "[A-Za-z0-9._~:/?#@!$&()*+,;=%\u2026-]"
 URL_BOUNDARY = "(?:^|[^A-Za-z0-9_@])"
-SHORT_LINKS = ("bit.ly", "t.co", "goo.gl")
-OPEN_DOMAINS = ("(?:m.)?youtube.com", "youtu.be", "tinyurl.com", "linktr.ee", "amzn.to")
+SHORT_LINKS = r"(?:bit\.ly|t\.co|goo\.gl)"
+OPEN_DOMAINS = r"(?:(?:m\.)?youtube\.com|youtu\.be|tinyurl\.com|linktr\.ee|amzn\.to)"
 LINK_TRAIL = ".,!?;:"
 LOCAL_CHARS = "[A-Za-z0-9_+-]"
+LABEL = "[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
 SPACES = (
     " \t\n\r\f\v\u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
 WORD = "[a-z]{3,}"
-# End of the fixed values.
 #: The same 25 characters within a class, in fewer steps.
 SPACE_CLASS = " \t-\r\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
-#: Every alternative of the clean pattern needs one of these in the folded text.
-GATE = ("@", "#", "://", "www.", "bit.ly/", "t.co/", "goo.gl/", "youtube.com", "youtu.be", "tinyurl.com", "linktr.ee", "amzn.to")
-
-
-def _dots(text: str) -> str:
-    return text.replace(".", r"\.")
-
-
 URL_SCHEME = f"https?://{URL_CHARS}+|{URL_BOUNDARY}www\\.{URL_CHARS}+"
-URL_BARE = (
-    f"(?:{'|'.join(map(_dots, SHORT_LINKS))})/{URL_CHARS}+"
-    f"|{URL_BOUNDARY}(?:{'|'.join(map(_dots, OPEN_DOMAINS))})(?:/{URL_CHARS}*)?"
-)
+URL_BARE = f"{SHORT_LINKS}/{URL_CHARS}+|{URL_BOUNDARY}{OPEN_DOMAINS}(?:/{URL_CHARS}*)?"
 URL = f"{URL_SCHEME}|{URL_BARE}"
 MENTION = f"@[^{SPACE_CLASS}@#]+"
 HASHTAG = f"#[^{SPACE_CLASS}#@]+"
+EMAIL_PORTABLE = rf"{LOCAL_CHARS}+(?:\.{LOCAL_CHARS}+)*@{LABEL}(?:\.{LABEL})+"
+# End of the fixed values.
 
-_LABEL = "[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
-EMAIL_PORTABLE = rf"{LOCAL_CHARS}+(?:\.{LOCAL_CHARS}+)*@{_LABEL}(?:\.{_LABEL})+"
+#: Every alternative of the clean pattern needs one of these in the folded text.
+GATE = ("@", "#", "://", "www.", "bit.ly/", "t.co/", "goo.gl/", "youtube.com", "youtu.be", "tinyurl.com", "linktr.ee", "amzn.to")
 
 _LABEL_JVM = "[A-Za-z0-9]++(?:-++[A-Za-z0-9]++)*+"
 _RUN_START = rf"(?:\G|(?<!{LOCAL_CHARS})(?<!{LOCAL_CHARS}\.))"
@@ -56,8 +47,7 @@ CLEAN_PORTABLE = f"{URL}|{EMAIL_PORTABLE}|{MENTION}|{HASHTAG}"
 # one. No text matches two of the alternatives that change places, so the leftmost match stays the same.
 TAG_JVM = f"[@#][^{SPACE_CLASS}@#]+"
 URL_JVM = (
-    f"https?://{URL_CHARS}++|{URL_BOUNDARY}(?:www\\.{URL_CHARS}++|(?:{'|'.join(map(_dots, OPEN_DOMAINS))})(?:/{URL_CHARS}*+)?)"
-    f"|(?:{'|'.join(map(_dots, SHORT_LINKS))})/{URL_CHARS}++"
+    f"https?://{URL_CHARS}++|{URL_BOUNDARY}(?:www\\.{URL_CHARS}++|{OPEN_DOMAINS}(?:/{URL_CHARS}*+)?)|{SHORT_LINKS}/{URL_CHARS}++"
 )
 #: Every email has this in it.
 MAIL_CORE = f"{LOCAL_CHARS}@[A-Za-z0-9]"

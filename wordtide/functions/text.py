@@ -20,6 +20,11 @@ def strip_payload(desc: Column) -> Column:
     return F.when(F.contains(desc, F.lit(P.PAYLOAD_MARKER)), first).otherwise(desc)
 
 
+def strip_payloads(desc: Column) -> Column:
+    """Removes every corrupt payload, each to the end of its line."""
+    return F.when(F.contains(desc, F.lit(P.PAYLOAD_MARKER)), F.regexp_replace(desc, P.PAYLOAD_LINE, "")).otherwise(desc)
+
+
 def strip_payload_to_end(desc: Column) -> Column:
     """Cuts the text at the first payload marker, following lines included."""
     return F.substring_index(desc, P.PAYLOAD_MARKER, 1)
@@ -63,11 +68,18 @@ def clean(desc: Column) -> Column:
 
 
 def clean_sequential(desc: Column) -> Column:
-    """The same removals as one pass per kind of entity; differs where one entity lies inside another."""
-    text = ascii_fold(strip_payload(desc))
+    """The same removals as one pass per kind of entity, all payloads included; differs where one entity lies inside another,
+    and after a second payload. Texts without a mark of any kind meet no pass."""
+    folded = ascii_fold(strip_payloads(desc))
+    text = folded
     for pattern in (P.URL_SCHEME, P.URL_BARE, P.EMAIL_JVM, P.MENTION, P.HASHTAG):
         text = F.regexp_replace(text, pattern, " ")
-    return text
+    return F.when(has_entities(folded), text).otherwise(folded)
+
+
+def clean_to_end(desc: Column) -> Column:
+    """The fused cleaner on a text that is cut at its first payload."""
+    return remove_entities(ascii_fold(strip_payload_to_end(desc)))
 
 
 def words(cleaned: Column) -> Column:
@@ -114,8 +126,23 @@ def _no_link(text: Column) -> Column:
 
 
 def _tidy_link(link: Column) -> Column:
-    """Drops the boundary character that the match consumed, and trailing punctuation."""
-    return F.rtrim(F.regexp_replace(link, r"\A[^\p{IsAlphabetic}\p{IsDigit}_]", ""), F.lit(P.LINK_TRAIL))
+    """Drops the boundary character that the match consumed, trailing punctuation, and trailing brackets that close nothing."""
+    bare = F.regexp_replace(link, r"\A[^\p{IsAlphabetic}\p{IsDigit}_]", "")
+    return F.when(bare.rlike(rf"[)\]}}][{P.LINK_TRAIL})\]}}]*\z"), _balanced(bare)).otherwise(F.rtrim(bare, F.lit(P.LINK_TRAIL)))
+
+
+def _balanced(link: Column) -> Column:
+    """Cuts from the end, sign by sign: punctuation, and closing brackets while there are more than opening ones."""
+    count = lambda text, sign: F.length(text) - F.length(F.replace(text, F.lit(sign)))
+
+    def cut(text: Column, _: Column) -> Column:
+        last = F.right(text, F.lit(1))
+        closes = reduce(lambda a, b: a | b, ((last == F.lit(b)) & (count(text, a) < count(text, b)) for a, b in ("()", "[]", "{}")))
+        goes = closes | F.contains(F.lit(P.LINK_TRAIL), last) & (last != "")
+        return F.when(goes, F.substring(text, F.lit(1), F.length(text) - 1)).otherwise(text)
+
+    tail = F.regexp_extract(link, rf"[{P.LINK_TRAIL})\]}}]*\z", 0)
+    return F.aggregate(F.sequence(F.lit(1), F.length(tail)), link, cut)
 
 
 def urls(text: Column) -> Column:

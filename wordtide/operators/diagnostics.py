@@ -17,38 +17,59 @@ def word_rows(df: DataFrame, word: str, key: str = "row_id", text: str = "desc",
     return near.where(F.array_contains(T.tokenize(F.col(text)), word))
 
 
-def attribution(df: DataFrame, word: str, key: str = "row_id", text: str = "desc", metric: str = "views") -> DataFrame:
-    """One row (word, n_fused, views_fused, n_sequential, views_sequential, only_fused, only_sequential).
-
-    Counts the rows, and their metric, that each variant of the cleaner attributes to the word.
-    """
+#: Variants of the tokenizer: one alternation after the first payload is gone; kind by kind after all payloads are; one
+#: alternation on the text before its first payload.
+VARIANTS = {"fused": T.clean, "sequential": T.clean_sequential, "to_end": T.clean_to_end}
+PAIRS = (("fused", "sequential"), ("fused", "to_end"), ("sequential", "to_end"))
+#: Difference tables of attribution: what the first has and the second lacks.
+DIFFERENCES = {
+    "fused_only": ("fused", "sequential"),
+    "sequential_only": ("sequential", "fused"),
+    "to_end_only_vs_fused": ("to_end", "fused"),
+    "to_end_only_vs_sequential": ("to_end", "sequential"),
+    "sequential_only_vs_to_end": ("sequential", "to_end"),
+}
+
+
+def _attributed(df: DataFrame, word: str, key: str, text: str, metric: str) -> DataFrame:
+    """(key, metric, text, and a flag for each variant) of the rows that may hold the word."""
     near = df.select(key, metric, text).where(F.col(text).isNotNull() & F.col(metric).isNotNull())
     near = spread(near.where(F.contains(T.ascii_fold(F.col(text)), F.lit(word))))
-    a = F.array_contains(T.tokenize(F.col(text)), word)
-    b = F.array_contains(T.words(T.clean_sequential(F.col(text))), word)
-    flags = near.select(F.col(metric).alias("m"), a.alias("a"), b.alias("b"))
-    views = lambda c: F.coalesce(F.sum(F.when(F.col(c), F.col("m"))), F.lit(0)).cast("bigint")
-    return flags.agg(
-        F.lit(word).alias("word"),
-        F.count_if("a").alias("n_fused"),
-        views("a").alias("views_fused"),
-        F.count_if("b").alias("n_sequential"),
-        views("b").alias("views_sequential"),
-        F.count_if(F.col("a") & ~F.col("b")).alias("only_fused"),
-        F.count_if(~F.col("a") & F.col("b")).alias("only_sequential"),
-    )
+    return near.withColumns({f"in_{v}": F.array_contains(T.words(clean(F.col(text))), word) for v, clean in VARIANTS.items()})
+
+
+def attribution(df: DataFrame, word: str, key: str = "row_id", text: str = "desc", metric: str = "views") -> DataFrame:
+    """One row: the word, the rows and their metric that each variant attributes to it, and the size of each difference."""
+    flags = _attributed(df, word, key, text, metric)
+    views = lambda v: F.coalesce(F.sum(F.when(F.col(f"in_{v}"), F.col(metric))), F.lit(0)).cast("bigint")
+    out = [F.lit(word).alias("word")]
+    for v in VARIANTS:
+        out += [F.count_if(f"in_{v}").alias(f"n_{v}"), views(v).alias(f"views_{v}")]
+    return flags.agg(*out, *[F.count_if(F.col(f"in_{a}") & ~F.col(f"in_{b}")).alias(n) for n, (a, b) in DIFFERENCES.items()])
+
+
+def difference_rows(df: DataFrame, word: str, key: str = "row_id", text: str = "desc", metric: str = "views") -> DataFrame:
+    """(key, metric, text, difference): the rows of the five difference tables, each as an anti join of two variants' rows would
+    give it. The variants' flags stand beside each other in a row, so nothing is joined."""
+    flags = _attributed(df, word, key, text, metric)
+    named = F.array_compact(F.array(*[F.when(F.col(f"in_{a}") & ~F.col(f"in_{b}"), n) for n, (a, b) in DIFFERENCES.items()]))
+    return flags.select(key, metric, text, F.explode(named).alias("difference"))
 
 
 def variants(df: DataFrame, key: str = "row_id", text: str = "desc", metric: str = "views") -> DataFrame:
-    """(key, metric, text, tokens_fused, tokens_sequential, differ) for every row with text."""
+    """(key, metric, text, the signature of each variant's tokens, a flag for each pair of variants that differ, differ) for
+    every row with text."""
     rows = spread(df.select(key, metric, text).where(F.col(text).isNotNull()))
-    fused, sequential = T.tokenize(F.col(text)), T.words(T.clean_sequential(F.col(text)))
-    rows = rows.withColumns({"tokens_fused": T.signature(fused), "tokens_sequential": T.signature(sequential)})
-    return rows.withColumn("differ", F.col("tokens_fused") != F.col("tokens_sequential"))
+    cleaned = rows.withColumns({f"_{v}": clean(F.col(text)) for v, clean in VARIANTS.items()})
+    # A generator of one row keeps filters on the flags from repeating all cleaning in their conditions.
+    made = F.struct(*[T.signature(T.words(F.col(f"_{v}"))).alias(f"tokens_{v}") for v in VARIANTS])
+    rows = cleaned.select(key, metric, text, F.inline(F.array(made)))
+    rows = rows.withColumns({f"{a}_vs_{b}": F.col(f"tokens_{a}") != F.col(f"tokens_{b}") for a, b in PAIRS})
+    return rows.withColumn("differ", F.col(f"{PAIRS[0][0]}_vs_{PAIRS[0][1]}") | F.col(f"{PAIRS[1][0]}_vs_{PAIRS[1][1]}") | F.col(f"{PAIRS[2][0]}_vs_{PAIRS[2][1]}"))
 
 
 def mismatch_sample(df: DataFrame, n: int = 5000, key: str = "row_id", text: str = "desc", metric: str = "views") -> DataFrame:
-    """Up to n distinct texts on which the variants differ, each by its first row, in order of the key."""
+    """Up to n distinct texts on which any variants differ, each by its first row, in order of the key."""
     differing = variants(df, key, text, metric).where("differ").drop("differ")
     return first_by_text(differing, key, text).orderBy(key).limit(n)
 

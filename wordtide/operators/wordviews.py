@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wordtide.functions import text as T
@@ -39,10 +39,12 @@ def word_views(df: DataFrame, vocabulary: DataFrame | None = None, text: str = "
     tokens = exploded(df, text, metric)
     if vocabulary is not None:
         tokens = tokens.join(sized(vocabulary), "word", "left_semi")
+    return tokens.groupBy("word").agg(_total(df, metric).alias("total_views"))
+
+
+def _total(df: DataFrame, metric: str) -> Column:
     total = F.sum(metric)
-    if dict(df.dtypes)[metric] in ("tinyint", "smallint", "int", "bigint"):
-        total = total.cast("bigint")
-    return tokens.groupBy("word").agg(total.alias("total_views"))
+    return total.cast("bigint") if dict(df.dtypes)[metric] in ("tinyint", "smallint", "int", "bigint") else total
 
 
 def top(totals: DataFrame, k: int = 5) -> DataFrame:
@@ -57,8 +59,8 @@ def top_words(df: DataFrame, vocabulary: DataFrame | None, k: int = 5, text: str
 
 
 def merge_partials(partials: list[DataFrame]) -> DataFrame:
-    """(word, total_views) from several such results, as batches give them."""
+    """(word, total_views) from several such results, as batches give them; decimal totals stay decimal."""
     united = partials[0]
     for part in partials[1:]:
         united = united.unionByName(part)
-    return united.groupBy("word").agg(F.sum("total_views").cast("bigint").alias("total_views"))
+    return united.groupBy("word").agg(_total(united, "total_views").alias("total_views"))

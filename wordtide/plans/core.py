@@ -146,8 +146,17 @@ def clean_text(spark, d):
     return texts(spark, d).select("row_id", T.clean(F.col("desc")).alias("body"))
 
 
+FOLDED_ALL = FOLDED.replace("'.*', '')", "'.*', '', 'g')")
+FOLDED_TO_END = f"translate(split_part(\"desc\", {_q(P.PAYLOAD_MARKER)}, 1), '{P.ASCII_UPPER}', '{P.ASCII_LOWER}')"
+
+
+@query(f'SELECT row_id, regexp_replace("desc", {_q(P.PAYLOAD_MARKER)} || \'.*\', \'\', \'g\') AS body FROM videos WHERE "desc" IS NOT NULL')
+def strip_payloads(spark, d):
+    return texts(spark, d).select("row_id", T.strip_payloads(F.col("desc")).alias("body"))
+
+
 def _sequential_sql() -> str:
-    out = FOLDED
+    out = FOLDED_ALL
     for p in (P.URL_SCHEME, P.URL_BARE, P.EMAIL_PORTABLE, P.MENTION, P.HASHTAG):
         out = f"regexp_replace({out}, {_q(p)}, ' ', 'g')"
     return out
@@ -180,9 +189,15 @@ def extract_emails(spark, d):
 
 
 _LINKS = f"regexp_extract_all({_NO_MAIL}, {_q(P.URL)})"
+_MORE = lambda a, b: f"length(replace(t, '{a}', '')) > length(replace(t, '{b}', ''))"
+_CUT = (
+    f"CASE WHEN right(t, 1) <> '' AND contains('{P.LINK_TRAIL}', right(t, 1)) OR right(t, 1) = ')' AND {_MORE('(', ')')} OR right(t, 1) = ']' AND {_MORE('[', ']')}"
+    f" OR right(t, 1) = '}}' AND {_MORE('{', '}')} THEN left(t, length(t) - 1) ELSE t END"
+)
+_TIDY = f"list_transform({_LINKS}, lambda x: list_reduce([regexp_replace(x, '^[^\\pL\\pN_]', '')] || list_transform(range(length(x)), lambda i: ''), lambda t, u: {_CUT}))"
 
 
-@query(_facet_sql("urls", f"list_transform({_LINKS}, lambda x: rtrim(regexp_replace(x, '^[^\\pL\\pN_]', ''), '{P.LINK_TRAIL}'))"))
+@query(_facet_sql("urls", _TIDY))
 def extract_urls(spark, d):
     return _facet(spark, d, "urls", T.urls)
 
@@ -231,10 +246,18 @@ def token_membership(spark, d):
     WHERE "desc" IS NOT NULL GROUP BY row_id"""
 )
 def tokens_in_vocabulary(spark, d):
-    words = texts(spark, d).select("row_id", T.distinct_words(F.col("desc")).alias("words"))
-    tokens = words.select("row_id", F.explode_outer("words").alias("word"))
-    known = V.sized(vocab(spark, d).withColumn("known", F.lit(1)))
-    return tokens.join(known, "word", "left").groupBy("row_id").agg(F.count("known").cast("int").alias("n_known"))
+    known = V.known_words(texts(spark, d), T.tokenize(F.col("desc")), vocab(spark, d), "row_id", "words")
+    return known.select("row_id", F.size("words").alias("n_known"))
+
+
+@query(
+    f"""SELECT row_id, array_to_string(list_sort(list_filter({DISTINCT}, lambda w: w NOT IN ('{PROBE}', 'the'))), {JOIN}) AS words
+    FROM videos WHERE "desc" IS NOT NULL"""
+)
+def filter_tokens(spark, d):
+    """Membership and its negation element by element, inside each row's array."""
+    kept = F.filter(T.distinct_words(F.col("desc")), lambda w: ~w.isin(PROBE, "the"))
+    return texts(spark, d).select("row_id", F.array_join(F.sort_array(kept), "\x1f").alias("words"))
 
 
 # --- joins
@@ -263,22 +286,26 @@ def anti_join_vocab(spark, d):
 
 
 _SEQ_WORDS = f"regexp_extract_all({_sequential_sql()}, '{P.WORD}')"
+_END_WORDS = f"regexp_extract_all(regexp_replace({FOLDED_TO_END}, {_q(P.CLEAN_PORTABLE)}, ' ', 'g'), '{P.WORD}')"
+_BY = {"fused": WORDS, "sequential": _SEQ_WORDS, "to_end": _END_WORDS}
 _SIG = lambda w: f"array_to_string(list_sort(list_distinct({w})), {JOIN})"
 
 
 @query(
     f"""WITH a AS (SELECT row_id, {_SIG(WORDS)} AS s FROM videos WHERE "desc" IS NOT NULL),
-    b AS (SELECT row_id, {_SIG(_SEQ_WORDS)} AS s FROM videos WHERE "desc" IS NOT NULL)
-    SELECT v.row_id, v.views, coalesce(a.s, '') AS tokens_fused, coalesce(b.s, '') AS tokens_sequential
-    FROM videos v LEFT JOIN a USING (row_id) LEFT JOIN b USING (row_id)"""
+    b AS (SELECT row_id, {_SIG(_SEQ_WORDS)} AS s FROM videos WHERE "desc" IS NOT NULL),
+    c AS (SELECT row_id, {_SIG(_END_WORDS)} AS s FROM videos WHERE "desc" IS NOT NULL)
+    SELECT v.row_id, v.views, coalesce(a.s, '') AS tokens_fused, coalesce(b.s, '') AS tokens_sequential, coalesce(c.s, '') AS tokens_to_end
+    FROM videos v LEFT JOIN a USING (row_id) LEFT JOIN b USING (row_id) LEFT JOIN c USING (row_id)"""
 )
 def left_align(spark, d):
-    """Every row beside what two variants made of it, where they made something."""
-    rows = texts(spark, d)
-    a = rows.select("row_id", T.signature(T.tokenize(F.col("desc"))).alias("a"))
-    b = rows.select("row_id", T.signature(T.words(T.clean_sequential(F.col("desc")))).alias("b"))
-    out = videos(spark, d).select("row_id", "views").join(a, "row_id", "left").join(b, "row_id", "left")
-    return out.select("row_id", "views", F.coalesce("a", F.lit("")).alias("tokens_fused"), F.coalesce("b", F.lit("")).alias("tokens_sequential"))
+    """Every row beside what three variants made of it, where they made something. Three joins, for results that come from
+    different places; ``variants`` gives the same of one table in one projection."""
+    out = videos(spark, d).select("row_id", "views")
+    for v, clean in D.VARIANTS.items():
+        made = texts(spark, d).select("row_id", T.signature(T.words(clean(F.col("desc")))).alias(f"tokens_{v}"))
+        out = out.join(made, "row_id", "left")
+    return out.fillna("", [f"tokens_{v}" for v in D.VARIANTS])
 
 
 @query(f"SELECT row_id FROM videos WHERE \"desc\" IS NOT NULL AND len({WORDS}) = 0")
@@ -317,8 +344,19 @@ def row_count(spark, d):
 
 @query(f"SELECT row_id, string_agg(word, {JOIN} ORDER BY word) AS words FROM (SELECT row_id, word FROM ({_ROWS}) WHERE word IN ({VOCAB})) GROUP BY row_id")
 def collect_words(spark, d):
-    kept = semi_join_vocab(spark, d)
-    return kept.groupBy("row_id").agg(F.array_join(F.sort_array(F.collect_set("word")), "\x1f").alias("words"))
+    known = V.known_words(texts(spark, d), T.tokenize(F.col("desc")), vocab(spark, d), "row_id", "words")
+    return known.where(F.size("words") > 0).select("row_id", F.array_join(F.sort_array("words"), "\x1f").alias("words"))
+
+
+@query(
+    f"""SELECT row_id, views, "desc", string_agg(word, {JOIN} ORDER BY word) AS words FROM
+    (SELECT row_id, views, "desc", unnest({DISTINCT}) AS word FROM videos WHERE "desc" IS NOT NULL AND views IS NOT NULL) WHERE word IN ({VOCAB}) GROUP BY ALL"""
+)
+def collect_rows(spark, d):
+    """Words gathered by (row, metric, text), from joined tokens; a row's tokens go through the shuffle that ``collect_words`` spares."""
+    rows = videos(spark, d).select("row_id", "views", "desc").where("desc IS NOT NULL AND views IS NOT NULL")
+    kept = W.explode_words(spread(rows), "desc", "row_id", "views", "desc").join(V.sized(vocab(spark, d)), "word", "left_semi")
+    return kept.groupBy("row_id", "views", "desc").agg(F.array_join(F.sort_array(F.collect_set("word")), "\x1f").alias("words"))
 
 
 # --- diagnostics
@@ -329,33 +367,61 @@ def word_rows(spark, d):
     return D.word_rows(videos(spark, d), PROBE)
 
 
-@query(
-    f"""SELECT '{PROBE}' AS word, COUNT(*) FILTER (a) AS n_fused, coalesce(SUM(views) FILTER (a), 0)::BIGINT AS views_fused,
-    COUNT(*) FILTER (b) AS n_sequential, coalesce(SUM(views) FILTER (b), 0)::BIGINT AS views_sequential,
-    COUNT(*) FILTER (a AND NOT b) AS only_fused, COUNT(*) FILTER (b AND NOT a) AS only_sequential
-    FROM (SELECT views, list_contains({WORDS}, '{PROBE}') AS a, list_contains({_SEQ_WORDS}, '{PROBE}') AS b
-    FROM videos WHERE "desc" IS NOT NULL AND views IS NOT NULL)"""
-)
+#: Word that the tails behind payloads hold in the driver's tables, so that variants differ on it.
+TAIL_PROBE = "tail"
+
+
+def _attribution_sql(word: str) -> str:
+    flags = ", ".join(f"list_contains({w}, '{word}') AS in_{v}" for v, w in _BY.items())
+    return f'SELECT row_id, views, "desc", {flags} FROM videos WHERE "desc" IS NOT NULL AND views IS NOT NULL'
+
+
+def _attribution_counts(word: str) -> str:
+    each = ", ".join(f"COUNT(*) FILTER (in_{v}) AS n_{v}, coalesce(SUM(views) FILTER (in_{v}), 0)::BIGINT AS views_{v}" for v in _BY)
+    more = ", ".join(f"COUNT(*) FILTER (in_{a} AND NOT in_{b}) AS {n}" for n, (a, b) in D.DIFFERENCES.items())
+    return f"SELECT '{word}' AS word, {each}, {more} FROM ({_attribution_sql(word)})"
+
+
+@query(_attribution_counts(PROBE))
 def word_attribution(spark, d):
     return D.attribution(videos(spark, d), PROBE)
 
 
-_VARIANTS = f'SELECT row_id, views, "desc", {_SIG(WORDS)} AS tokens_fused, {_SIG(_SEQ_WORDS)} AS tokens_sequential FROM videos WHERE "desc" IS NOT NULL'
+@query(_attribution_counts(TAIL_PROBE))
+def word_attribution_tails(spark, d):
+    return D.attribution(videos(spark, d), TAIL_PROBE)
+
+
+@query(
+    f"WITH r AS ({_attribution_sql(TAIL_PROBE)}) "
+    + " UNION ALL ".join(
+        f"SELECT row_id, views, \"desc\", '{n}' AS difference FROM (SELECT * FROM r WHERE in_{a}) ANTI JOIN (SELECT row_id FROM r WHERE in_{b}) USING (row_id)"
+        for n, (a, b) in D.DIFFERENCES.items()
+    )
+)
+def word_differences(spark, d):
+    return D.difference_rows(videos(spark, d), TAIL_PROBE)
+
+
+_VARIANTS = f'SELECT row_id, views, "desc", {", ".join(f"{_SIG(w)} AS tokens_{v}" for v, w in _BY.items())} FROM videos WHERE "desc" IS NOT NULL'
+_VARIANTS = f"SELECT *, {', '.join(f'tokens_{a} <> tokens_{b} AS {a}_vs_{b}' for a, b in D.PAIRS)} FROM ({_VARIANTS})"
+_DIFFER = " OR ".join(f"{a}_vs_{b}" for a, b in D.PAIRS)
 
 
-@query(f"SELECT * FROM ({_VARIANTS}) WHERE tokens_fused <> tokens_sequential")
+@query(f"SELECT * FROM ({_VARIANTS}) WHERE {_DIFFER}")
 def tokenizer_mismatches(spark, d):
     return D.variants(videos(spark, d)).where("differ").drop("differ")
 
 
-@query(f"SELECT COUNT(*) AS n_rows, COUNT(*) FILTER (tokens_fused <> tokens_sequential) AS n_differ FROM ({_VARIANTS})")
+@query(f"SELECT COUNT(*) AS n_rows, COUNT(*) FILTER ({_DIFFER}) AS n_differ, {', '.join(f'COUNT(*) FILTER ({a}_vs_{b}) AS n_{a}_vs_{b}' for a, b in D.PAIRS)} FROM ({_VARIANTS})")
 def mismatch_counts(spark, d):
-    return D.variants(videos(spark, d)).agg(F.count(F.lit(1)).alias("n_rows"), F.count_if("differ").alias("n_differ"))
+    pairs = [F.count_if(f"{a}_vs_{b}").alias(f"n_{a}_vs_{b}") for a, b in D.PAIRS]
+    return D.variants(videos(spark, d)).agg(F.count(F.lit(1)).alias("n_rows"), F.count_if("differ").alias("n_differ"), *pairs)
 
 
 @query(
-    f"""SELECT row_id, views, "desc", tokens_fused, tokens_sequential FROM (SELECT *, row_number() OVER (PARTITION BY "desc" ORDER BY row_id) AS n
-    FROM ({_VARIANTS}) WHERE tokens_fused <> tokens_sequential) WHERE n = 1 ORDER BY row_id LIMIT 5000"""
+    f"""SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY "desc" ORDER BY row_id) AS n
+    FROM ({_VARIANTS}) WHERE {_DIFFER}) WHERE n = 1 ORDER BY row_id LIMIT 5000"""
 )
 def mismatch_sample(spark, d):
     return D.mismatch_sample(videos(spark, d))
@@ -397,7 +463,7 @@ _CASE = {"desc": "text"}
 def _case_sql() -> str:
     t = lambda s: s.replace('"desc"', "text")
     mails = t(f'regexp_extract_all("desc", {_q(P.EMAIL_PORTABLE)})')
-    links = t(f"list_transform({_LINKS}, lambda x: rtrim(regexp_replace(x, '^[^\\pL\\pN_]', ''), '{P.LINK_TRAIL}'))")
+    links = t(_TIDY)
     ats, tags = t(f"regexp_extract_all({_NO_LINK}, {_q(P.MENTION)})"), t(f"regexp_extract_all({_NO_MENTION}, {_q(P.HASHTAG)})")
     cols = {"emails": mails, "urls": links, "mentions": ats, "hashtags": tags, "words": t(WORDS)}
     out = ", ".join(f"array_to_string({v}, {JOIN}) AS {k}, {v} = expected_{k} AS {k}_ok" for k, v in cols.items())

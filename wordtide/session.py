@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -14,6 +15,8 @@ CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Checkpoints go when nothing refers to them any more.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -30,21 +33,31 @@ def local_session(cores: int = 8, name: str = "wordtide", memory: str = "8g") ->
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Checkpoints into the cluster's shared folder, so that a lost executor costs no recomputation and no data.
 
-    The folder is the session's; one is set here only where there is none, as in tests on one machine.
+    The folder is the session's. Where none is set, one of this machine is, but only if all executors run on it; it is
+    removed at the end.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         shared = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="wordtide-checkpoint-"))
+        if not shared and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(shared or _own_folder("wordtide-checkpoint-"))
     return df.checkpoint(eager=True)
 
 
+def _own_folder(prefix: str) -> str:
+    """A folder of this process, removed when it ends."""
+    folder = tempfile.mkdtemp(prefix=prefix)
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Sends this package to the executors' Python workers, once a session; they need not have it installed."""
     sc = spark.sparkContext
     if not getattr(sc, "_wordtide_shipped", False):
         package = os.path.dirname(os.path.abspath(__file__))
-        folder = tempfile.mkdtemp(prefix="wordtide-")
+        folder = _own_folder("wordtide-")
         sc.addPyFile(shutil.make_archive(os.path.join(folder, "wordtide"), "zip", os.path.dirname(package), os.path.basename(package)))
         sc._wordtide_shipped = True
     return spark

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import csv
 import os
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,14 +20,18 @@ def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{path}/{name}.parquet")
 
 
+def size_in_bytes(df: DataFrame) -> int:
+    """The optimiser's estimate; nothing is read for it."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deals the rows of a small input in few files to all cores before heavy work on each row; leaves any other where it is.
 
     The choice rests on the optimiser's estimate of the bytes and on the number of files, so nothing is read for it.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < SPREAD_BELOW_BYTES and len(df._jdf.inputFiles()) < cores else df
+    return df.repartition(cores) if size_in_bytes(df) < SPREAD_BELOW_BYTES and len(df._jdf.inputFiles()) < cores else df
 
 
 def partitions(df: DataFrame) -> int:
@@ -47,6 +54,19 @@ def row_count(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+@contextmanager
+def temp_table(df: DataFrame, name: str, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> Iterator[DataFrame]:
+    """Keeps a table as a temporary view of that name, computed once, while the block runs; both are dropped at its end.
+    What an executor loses is computed anew."""
+    kept = df.persist(level)
+    kept.createOrReplaceTempView(name)
+    try:
+        yield kept
+    finally:
+        df.sparkSession.catalog.dropTempView(name)
+        kept.unpersist()
+
+
 def write_table(df: DataFrame, path: str) -> str:
     """Writes by suffix, ``.parquet`` or ``.csv``; anything else is a ValueError. Array columns are joined for CSV."""
     if path.endswith(".parquet"):
@@ -66,11 +86,15 @@ def parquet_to_csv(spark: SparkSession, path: str) -> str:
     return write_table(spark.read.parquet(path), path.removesuffix(".parquet") + ".csv")
 
 
+# Fixed value: the columns of the run log.
+RUN_LOG = ["engine", "elapsed_seconds", "top_word", "top_views"]
+
+
 def append_run_log(path: str, engine: str, seconds: float, top: tuple[str, int] | None) -> None:
     """Appends a line to the driver's CSV run log; writes the header first if the file is new or empty."""
     new = not os.path.exists(path) or os.path.getsize(path) == 0
     with open(path, "a", newline="", encoding="utf-8") as f:
         out = csv.writer(f)
         if new:
-            out.writerow(["engine", "elapsed_seconds", "top_word", "top_views"])
+            out.writerow(RUN_LOG)
         out.writerow([engine, f"{seconds:.6f}", *(top or ("", ""))])
